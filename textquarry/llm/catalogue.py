@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textquarry.llm import tokenize
+from textquarry.llm import components, tokenize
 from textquarry.sources.readers import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,29 @@ def query(name: str, sql: str | None = None):
 @query("p5_ids")
 def p5_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, d, "documents"))
+
+
+SPLIT_KEYS = ("adv_source_ids", "sources")
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return components.grouped_records(table(spark, d, "split_pool"), "rec_id", SPLIT_KEYS)
+
+
+@query("p3_assigned")
+def p3_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """The records of the first three quarters of the time span, then the late ones and those without a stamp."""
+    pool = table(spark, d, "split_pool")
+    span = pool.agg(F.min("added_at").alias("lo"), F.max("added_at").alias("hi")).first()
+    early = F.col("added_at") < F.lit(span["lo"] + (span["hi"] - span["lo"]) * 3 / 4) if span["lo"] else F.lit(False)
+    return components.assign_records(pool, "rec_id", SPLIT_KEYS, table(spark, d, "split_targets"), [early, F.lit(True)])
+
+
+@query("p3_report")
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Records, groups and share of each split against its target."""
+    out = p3_assigned(spark, d)
+    got = out.groupBy("split").agg(F.count("*").alias("n_records"), F.count_distinct(F.coalesce("group_key", F.concat(F.lit("r:"), F.col("rec_id").cast("string")))).alias("n_groups"))
+    total = got.select(F.sum("n_records").alias("total"))
+    return got.join(table(spark, d, "split_targets"), "split", "full").crossJoin(F.broadcast(total)).select("split", "target_share", "n_records", "n_groups", F.round(F.col("n_records") / F.col("total"), 6).alias("actual_share"))

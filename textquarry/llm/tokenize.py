@@ -19,6 +19,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 import regex
 import sentencepiece
@@ -164,9 +165,7 @@ def token_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()
     shipped = spark.sparkContext.broadcast(model_bytes(directory, vocabulary))
 
     @F.pandas_udf("bigint")
-    def count(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(shipped.value)
         for batch in texts:
             yield pd.Series([len(x) for x in enc.encode_batch(batch.astype(object).where(batch.notna(), None).tolist())], dtype="int64")
