@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import components, tokenize
+from textquarry.llm import balance, components, tokenize
 from textquarry.sources.readers import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,22 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     got = out.groupBy("split").agg(F.count("*").alias("n_records"), F.count_distinct(F.coalesce("group_key", F.concat(F.lit("r:"), F.col("rec_id").cast("string")))).alias("n_groups"))
     total = got.select(F.sum("n_records").alias("total"))
     return got.join(table(spark, d, "split_targets"), "split", "full").crossJoin(F.broadcast(total)).select("split", "target_share", "n_records", "n_groups", F.round(F.col("n_records") / F.col("total"), 6).alias("actual_share"))
+
+
+def _balanced(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return balance.sample_targets(balance.usable_records(table(spark, d, "raid")), table(spark, d, "sample_targets"))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _balanced(spark, d)[1].filter("available < needed").select("target_id")
+
+
+@query("p2_sample")
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _balanced(spark, d)[0]
+
+
+@query("p2_report")
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return _balanced(spark, d)[1]
