@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import balance, components, tokenize
+from textquarry.llm import balance, components, mixing, tokenize
 from textquarry.sources.readers import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,22 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
 @query("p2_report")
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return _balanced(spark, d)[1]
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(mixing.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1].filter("NOT reachable").select("mix_id", "source")
+
+
+@query("p6_drawn")
+def p6_drawn(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+@query("p6_report")
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
