@@ -20,6 +20,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textquarry import tables
 
@@ -88,19 +89,19 @@ def _compat(text: str | None) -> str | None:
     return " ".join(out.split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(fold_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_collapsed_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(fold_text_collapsed, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compat_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(_compat, na_action="ignore")
