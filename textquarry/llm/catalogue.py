@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import balance, components, mixing, tokenize
+from textquarry.llm import balance, components, forest, mixing, overlap, tokenize
 from textquarry.sources.readers import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,29 @@ def p6_drawn(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_report")
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
+
+
+def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return overlap.cross_overlaps(table(spark, d, "v217_bundle"), "row_id", "texts", F.col("split") == overlap.TRAIN, F.col("split").isin(*overlap.EVALUATION), ("split", "sources"))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_pairs(*_overlaps(spark, d), "row_id")
+
+
+@query("p1_report")
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(*_overlaps(spark, d), ("split", "sources"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    members, pairs, _ = forest.near_duplicates(table(spark, d, "raid_ai_v217"), "cache_id", "texts")
+    return forest.row_pairs(members, pairs, "cache_id")
+
+
+@query("p4_groups")
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    members, pairs, _ = forest.near_duplicates(table(spark, d, "raid_ai_v217"), "cache_id", "texts")
+    return forest.row_groups(members, pairs, "cache_id")
