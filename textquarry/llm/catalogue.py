@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import balance, components, forest, mixing, overlap, tokenize
+from textquarry.llm import balance, components, forest, mixing, overlap, sentences, tokenize
 from textquarry.sources.readers import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     members, pairs, _ = forest.near_duplicates(table(spark, d, "raid_ai_v217"), "cache_id", "texts")
     return forest.row_groups(members, pairs, "cache_id")
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents"))
+
+
+@query("p7_model")
+def p7_model(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.learn(table(spark, d, "documents"))

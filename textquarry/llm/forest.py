@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.components import update_components
 from textquarry.llm.windows import mix64, text_classes, verified, window_codes
-from textquarry.storage import Scratch
+from textquarry.storage import Scratch, spread
 
 TREES, DEPTH = 96, 8
 #: The trie is cut at this depth in the first pass; shorter prefixes are further passes.
@@ -79,7 +79,7 @@ def postings(reps: DataFrame, cut: int, trees: int = TREES, depth: int = DEPTH)
                 rep = np.repeat(part.column(0).to_numpy(zero_copy_only=False), trees)
                 yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(bucket.ravel().view(np.int64)), pa.array(tail.ravel())], names=["rep", "bucket", "tail"])
 
-    return reps.select("rep", "letters").mapInArrow(run, "rep long, bucket long, tail long")
+    return spread(reps.select("rep", "letters")).mapInArrow(run, "rep long, bucket long, tail long")
 
 
 def trie_pairs(trie: DataFrame, cut: int, depth: int = DEPTH) -> DataFrame:
