@@ -666,5 +666,5 @@ def _sink(kind: str):
 
 
 query("q47_parquet_by_split", "SELECT row_id, texts, labels, sources, split FROM v217_bundle")(_sink("parquet"))
-query("q47_csv_export", "SELECT row_id, texts, labels, sources, split FROM v217_bundle WHERE texts <> ''")(_sink("csv"))
+query("q47_csv_export", "SELECT row_id, texts, labels, sources, split FROM v217_bundle")(_sink("csv"))
 query("q47_jsonl_export", "SELECT row_id, texts, labels, sources, split FROM v217_bundle")(_sink("json"))

@@ -25,9 +25,9 @@ def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header, quoted line breaks and doubled quotes."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+def csv(spark: SparkSession, path: str, schema: T.StructType | None = None, null: str = "") -> DataFrame:
+    """CSV with a header, quoted line breaks and doubled quotes (S2); ``null`` is null, quoted or not."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", null).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 

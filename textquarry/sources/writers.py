@@ -9,14 +9,18 @@ from textquarry.operators.report import upsert
 from textquarry.storage import Scratch
 
 
+#: Null in a CSV export.
+NULL_FIELD = "\\N"
+
+
 def parquet_by(df: DataFrame, path: str, *by: str) -> None:
     """Parquet, one folder per value of the given columns (K1, K2, K9)."""
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def csv_export(df: DataFrame, path: str) -> None:
-    """CSV with header; quotes are doubled, line breaks quoted, null is empty and the empty text is quoted (K3)."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("escapeQuotes", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    """CSV with header; quotes are doubled, line breaks quoted, null is ``NULL_FIELD`` and the empty text is quoted (K3)."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", NULL_FIELD).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def jsonl(df: DataFrame, path: str, keep_nulls: bool = False) -> None:
@@ -57,5 +61,5 @@ def round_trip(spark: SparkSession, bundle: DataFrame, kind: str) -> DataFrame:
         back = spark.read.schema(rows.schema).json(at)
     else:
         csv_export(rows, at)
-        back = csv(spark, at, rows.schema).filter("texts <> ''")
+        back = csv(spark, at, rows.schema, NULL_FIELD)
     return back.select("row_id", "texts", "labels", "sources", "split")
