@@ -52,7 +52,7 @@ def entropy_block(rows: DataFrame) -> DataFrame:
     def tagged(kind: str, items: Column) -> Column:
         return F.transform(items.cast("array<string>"), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("item")))
 
-    chars = F.filter(F.split(F.lower("t"), ""), lambda c: c.rlike(r"[\p{L}\p{N} \t\n\r\f\x0B]"))
+    chars = F.split(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N} \t\n\r\f\x0B]", ""), "")
     marks = F.regexp_extract_all(F.col("t"), F.lit(PUNCTUATION), F.lit(0))
     lengths = F.transform("s", lambda x: F.least(F.floor(word_count(x) / 5), F.lit(10)))
     sizes = F.transform("w", lambda x: F.least(F.length(x), F.lit(15)))

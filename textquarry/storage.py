@@ -33,6 +33,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[str] = []
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -44,15 +45,26 @@ class Scratch:
         df.write.mode("overwrite").parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._tq_path = at  # type: ignore[attr-defined]
+        self.tables.append(at)
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Remove a table of this run that nothing will read again."""
         at = getattr(df, "_tq_path", None)
-        if at and at.startswith(self.root):
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(at)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        if at in self.tables:
+            self.tables.remove(at)
+            self._delete(at)
+
+    def finish(self, *kept: DataFrame) -> None:
+        """Remove all tables of this run but those given: what an operator returns must be read from these alone."""
+        stay = {getattr(df, "_tq_path", None) for df in kept}
+        for at in [t for t in self.tables if t not in stay]:
+            self.tables.remove(at)
+            self._delete(at)
+
+    def _delete(self, at: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
