@@ -144,6 +144,8 @@ def sample_targets(records: DataFrame, targets: DataFrame, key: str = "id", cate
         .withColumn("met", (F.col("available") >= F.col("needed")) & (F.col("residual") >= 0) & (F.col("shortfall") == 0))
         .select("spec_id", "target_id", *categories, "target_share", "min_rows", "sample_size", "needed", "available", "drawn", "shortfall", "actual_share", "residual", "met")
     )
+    report = scratch.save(report, "report")
+    scratch.finish(sample, report)
     return sample, report
 
 

@@ -59,7 +59,20 @@ def _balanced(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return balance.sample_targets(balance.usable_records(table(spark, d, "raid")), table(spark, d, "sample_targets"))
 
 
-@query("p2_found")
+_EDGES = r"'^[ \t\n\r\f\v\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+|[ \t\n\r\f\v\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+$'"
+
+
+def _cleaned(c: str) -> str:
+    return f"lower(regexp_replace({c}, {_EDGES}, '', 'g'))"
+
+
+@query(
+    "p2_found",
+    f"""WITH last AS (SELECT * FROM raid QUALIFY id IS NULL OR row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) = 1),
+    u AS (SELECT {_cleaned("domain")} AS d, {_cleaned("model")} AS m, {_cleaned("attack")} AS a, true AS ok FROM last WHERE length(regexp_replace(coalesce(generation, ''), {_EDGES}, '', 'g')) > 0)
+    SELECT target_id FROM sample_targets t LEFT JOIN u ON (t.domain IS NULL OR {_cleaned("t.domain")} = d) AND (t.model IS NULL OR {_cleaned("t.model")} = m) AND (t.attack IS NULL OR {_cleaned("t.attack")} = a)
+    GROUP BY target_id, min_rows, target_share, sample_size HAVING count(ok) < greatest(min_rows, round(target_share * sample_size))""",
+)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _balanced(spark, d)[1].filter("available < needed").select("target_id")
 

@@ -136,6 +136,7 @@ def grouped_records(records: DataFrame, record: str, fields: Sequence[str]) -> D
     table = update_components(spark, key_edges(keys), scratch=scratch)
     groups = record_groups(keys, record, table).filter("root IS NOT NULL")
     many = groups.groupBy("root").count().filter("count > 1").select("root")
+    scratch.finish(keys, table)
     return groups.join(many, "root").select(record, F.substring("root", 3, 1 << 30).alias("group_key"))
 
 
@@ -215,13 +216,14 @@ def previous_splits(units: DataFrame, old: DataFrame) -> DataFrame:
 def assign_records(records: DataFrame, record: str, fields: Sequence[str], targets: DataFrame, batches: Sequence[Column]) -> DataFrame:
     """``record``, ``group_key``, ``split``, ``batch``, ``kept`` of all records, taken in batches.
 
-    Each batch (a predicate; together they must cover all rows, nulls included)
-    updates the component table of the batches before it and assigns what is new.
+    Rows without a record id are left out. Each batch (a predicate; the last takes
+    what the others leave) updates the component table of the batches before it and assigns what is new.
     Rows of one batch whose component was split before follow it; components
     merged from different splits go to quarantine with all their records.
     """
     spark = records.sparkSession
     scratch = Scratch(spark, "assign")
+    records = records.filter(F.col(record).isNotNull())
     table = assigned = None
     number = F.lit(len(batches) - 1)
     for i, predicate in reversed(list(enumerate(batches[:-1]))):
@@ -236,6 +238,7 @@ def assign_records(records: DataFrame, record: str, fields: Sequence[str], targe
         before = previous_splits(units, assigned) if assigned is not None else None
         splits = assign_splits(sizes, targets, before)
         assigned = scratch.save(units.join(splits.select("unit", "split", "kept"), "unit").select(record, "unit", "split", "kept"), "assigned")
+    scratch.finish(assigned, keys)
     out = assigned.join(keys.select(record, "batch"), record)
     group = F.when(~F.col("unit").startswith("r:"), F.substring("unit", 3, 1 << 30))
     return out.select(record, group.alias("group_key"), "split", "batch", "kept")

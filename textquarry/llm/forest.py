@@ -137,6 +137,8 @@ def near_duplicates(rows: DataFrame, key: str, text: str, least: float = SIMILAR
     scratch = Scratch(rows.sparkSession, "forest")
     members, reps = text_classes(rows.select(key, F.col(text).alias("_text")), key, "_text", scratch)
     pairs, log = near_pairs(reps, scratch, least, recall)
+    pairs = scratch.save(pairs, "near")
+    scratch.finish(members, pairs)
     return members, pairs, log
 
 

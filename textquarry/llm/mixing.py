@@ -147,4 +147,6 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", scratc
         .withColumn("budget_share", F.try_divide("drawn_tokens", "budget_tokens"))
         .select("mix_id", "source", "target_weight", "max_repeats", "budget_tokens", "available_tokens", "max_tokens", "target_tokens", "reachable", "drawn_tokens", "actual_weight", "budget_share")
     )
+    report = scratch.save(report, "report")
+    scratch.finish(drawn, report)
     return drawn, report

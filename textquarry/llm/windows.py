@@ -100,14 +100,14 @@ def verified(pairs: DataFrame, least: float, a: str = "letters_a", b: str = "let
 
 
 def text_classes(rows: DataFrame, key: str, text: str, scratch) -> tuple[DataFrame, DataFrame]:
-    """(members, representatives) of the classes of texts with equal letters.
+    """(members, representatives) of the classes of texts with equal letters; rows without a key are left out.
 
     ``members``: all other columns of ``rows`` and ``rep``, the smallest key of the
     class. ``representatives``: ``rep``, ``letters``. Texts without a window are in
     no class. Classes meet by a digest with partial minima, so a text that is a
     third of all rows stays spread.
     """
-    slim = spread(rows).withColumn("letters", letters(F.col(text))).drop(text).filter(F.length("letters") >= WINDOW)
+    slim = spread(rows.filter(F.col(key).isNotNull())).withColumn("letters", letters(F.col(text))).drop(text).filter(F.length("letters") >= WINDOW)
     slim = scratch.save(slim.withColumn("digest", F.md5("letters")), "letters")
     heads = scratch.save(slim.groupBy("digest").agg(F.min(key).alias("rep")), "heads")
     members = scratch.save(slim.drop("letters").join(heads, "digest").drop("digest"), "members")
