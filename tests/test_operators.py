@@ -134,3 +134,17 @@ def test_scorers_reports_and_fingerprint(spark):
     assert fitted[1] == (3.0, 1.0) and fitted[0][0] == 3.0
     labelled = values.withColumn("label", (F.col("id") % 7 > 3).cast("int"))
     assert stats.mutual_information(labelled, "label").first().idx == 0
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([rng.gauss(0, 5), float(rng.randrange(3)), 1e6])) for _ in range(500)] + [("one", 4.0), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.013, 0.25, 0.5, 0.977, 1.0]
+    got = {(r.g, r.p): r.q for r in stats.quantiles(df, "v", probs, ["g"]).collect()}
+    for g in ("a", "b", None, "one"):
+        for p in probs:
+            assert got[g, p] == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], p))
+    whole = {r.p: r.q for r in stats.quantiles(df, "v", probs).collect()}
+    assert whole[0.25] == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.25))
+    assert stats.quantiles(df.limit(0), "v", probs, ["g"]).collect() == []

@@ -65,10 +65,15 @@ def prefix(text: Column, n: int = 200) -> Column:
 
 
 def quota(rows: DataFrame, group: str, order: Sequence[Column], total: int, shares: dict[str, float]) -> DataFrame:
-    """At most floor(total x share) rows of each listed group, in order."""
+    """At most floor(total x share) rows of each listed group, in order.
+
+    The greatest quota is a constant limit on the rank, so tasks keep no more
+    rows of a group than that before the shuffle.
+    """
     cap = F.coalesce(*[F.when(F.col(group) == g, F.floor(F.lit(total * s))) for g, s in shares.items()], F.lit(0))
     w = Window.partitionBy(group).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= cap).drop("_rank")
+    most = int(total * max(shares.values(), default=0.0))
+    return rows.filter(F.col(group).isin(*shares)).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most).filter(F.col("_rank") <= cap).drop("_rank")
 
 
 def without_leaks(rows: DataFrame, others: DataFrame, key: Column, other_key: Column) -> DataFrame:

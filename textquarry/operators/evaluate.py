@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-ALL = "all"
+from textquarry.operators.stats import quantiles
 
 
 def finite(scored: DataFrame) -> DataFrame:
@@ -55,16 +57,16 @@ def _cumulative(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 RANGES = 256
 
 
-def _join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Equi-join on columns that may be null; a cross join with one row where there are none."""
+def _join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns that may be null; with the one row of ``right`` where there are none."""
     if not by:
-        return left.crossJoin(F.broadcast(right))
+        return left.join(F.broadcast(right), how=how)
     renamed = right.select(*[F.col(c).alias(f"_k_{c}") for c in by], *[c for c in right.columns if c not in by])
     on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
     condition = on[0]
     for c in on[1:]:
         condition = condition & c
-    return left.join(renamed, condition).drop(*[f"_k_{c}" for c in by])
+    return left.join(renamed, condition, how).drop(*[f"_k_{c}" for c in by])
 
 
 def auroc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -95,7 +97,9 @@ def tpr_interpolated(scored: DataFrame, fpr: float, by: Sequence[str] = ()) -> D
 def tpr_empirical(scored: DataFrame, fpr: float, by: Sequence[str] = (), strict: bool = True, least_humans: int = 21) -> DataFrame:
     """TPR beyond the linear quantile of the human scores (A11); null under ``least_humans``."""
     rows = finite(scored)
-    cut = rows.groupBy(*by).agg(F.percentile(F.when(F.col("y") == 0, F.col("s")), F.lit(1 - fpr)).alias("cut"), F.count_if(F.col("y") == 0).alias("n_human"))
+    humans = rows.groupBy(*by).agg(F.count_if(F.col("y") == 0).alias("n_human"))
+    cut = quantiles(rows.filter("y = 0"), "s", [1 - fpr], by).select(*by, F.col("q").alias("cut"))
+    cut = _join(humans, cut, by, "left")
     wide = _join(rows, cut, by)
     hit = F.col("s") > F.col("cut") if strict else F.col("s") >= F.col("cut")
     rate = F.avg(F.when(F.col("y") == 1, hit.cast("double")))
@@ -152,8 +156,7 @@ def fixed_grid(scored: DataFrame, start: float, stop: float, step: float, by: Se
 def quantile_grid(scored: DataFrame, count: int = 1500, low: float = 0.001, high: float = 0.999, by: Sequence[str] = ()) -> DataFrame:
     """Distinct linear quantiles of the scores."""
     probs = [low + (high - low) * i / (count - 1) for i in range(count)]
-    cut = finite(scored).groupBy(*by).agg(F.percentile("s", F.array(*[F.lit(p) for p in probs])).alias("t"))
-    return cut.select(*by, F.explode("t").alias("t")).distinct()
+    return quantiles(finite(scored), "s", probs, by).select(*by, F.col("q").alias("t")).distinct()
 
 
 def youden(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -199,7 +202,10 @@ def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def distribution(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Least, middle and greatest score, distinct scores, share above 0."""
-    return finite(scored).groupBy(*by).agg(F.min("s").alias("low"), F.median("s").alias("mid"), F.max("s").alias("high"), F.count_distinct("s").alias("n_unique"), F.avg((F.col("s") > 0).cast("double")).alias("positive"))
+    rows = finite(scored)
+    ends = rows.groupBy(*by).agg(F.min("s").alias("low"), F.max("s").alias("high"), F.count_distinct("s").alias("n_unique"), F.avg((F.col("s") > 0).cast("double")).alias("positive"))
+    mid = quantiles(rows, "s", [0.5], by).select(*by, F.col("q").alias("mid"))
+    return _join(ends, mid, by, "left").select(*by, "low", "mid", "high", "n_unique", "positive")
 
 
 def polarity(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -227,8 +233,6 @@ def bootstrap_interval(scored: DataFrame, threshold: float, by: Sequence[str] =
     fields = [counts.schema[c] for c in by]
 
     def run(batches):
-        import numpy as np
-
         for frame in batches:
             low, high = [], []
             for tp, p, tn, n in zip(frame["tp"], frame["p"], frame["tn"], frame["n"], strict=True):
@@ -240,8 +244,6 @@ def bootstrap_interval(scored: DataFrame, threshold: float, by: Sequence[str] =
                 high.append(b)
             yield frame[list(by)].assign(low=low, high=high)
 
-    from pyspark.sql import types as T
-
     return counts.mapInPandas(run, T.StructType([*fields, T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
 
 

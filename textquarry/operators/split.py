@@ -19,57 +19,58 @@ def draw(*key: Column, seed: str = SEED) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[k.cast("string") for k in key]))
 
 
-def grouped_split(rows: DataFrame, group: str, share: float = 0.10) -> DataFrame:
-    """``rows`` with ``split``: the first floor(groups x share) groups in hash order are val, all members follow.
-
-    Distinct groups are ranked by counting in hash ranges, so that no task sees
-    all groups.
-    """
-    groups = rows.select(group).distinct().withColumn("_h", draw(F.col(group)))
-    ranked = global_rank(groups, "_h", group)
-    size = groups.agg(F.floor(F.count("*") * F.lit(share)).alias("_take"))
-    val = ranked.crossJoin(F.broadcast(size)).filter(F.col("_rank") <= F.col("_take")).select(F.col(group).alias("_group"), F.lit("val").alias("_split"))
-    joined = rows.join(val, F.col(group).eqNullSafe(F.col("_group")), "left")
-    return joined.withColumn("split", F.coalesce("_split", F.lit("train"))).drop("_group", "_split")
+#: Hexadecimal digits of the hash that name a range: a cell's ranks are counted in 256 ranges.
+DIGITS = 2
 
 
-def global_rank(rows: DataFrame, order: str, tie: str, digits: int = 2) -> DataFrame:
-    """``rows`` with ``_rank`` from 1 by a hexadecimal hash: ranks within 16^digits ranges plus the counts of the ranges before.
+def cell_rank(rows: DataFrame, key: str, cells: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with ``_rank`` (from 1, in hash order) within its cell and ``_n``, the cell's rows; null is a cell.
 
-    The table of range counts has at most 256 rows and is broadcast.
+    Ranks are counted within hash ranges and shifted by the ranges before, so a
+    cell that holds a third of all rows is many tasks and no task sorts a cell.
     """
-    ranged = rows.withColumn("_range", F.substring(order, 1, digits))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order, tie))
-    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn("_rank", F.col("_inside") + F.col("_before")).drop("_range", "_inside", "_before")
+    ranged = rows.withColumn("_h", draw(F.col(key))).withColumn("_range", F.substring("_h", 1, DIGITS))
+    counts = ranged.groupBy(*cells, "_range").agg(F.count("*").alias("_c"))
+    cell = Window.partitionBy(*cells) if cells else Window.partitionBy(F.lit(1))
+    before = F.sum("_c").over(cell.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+    shifts = counts.select(*[F.col(c).alias(f"_k_{c}") for c in cells], F.col("_range").alias("_k"), before.alias("_before"), F.sum("_c").over(cell).alias("_n"))
+    inside = ranged.withColumn("_inside", F.row_number().over(Window.partitionBy(*cells, "_range").orderBy("_h", key)))
+    on = F.col("_range") == F.col("_k")
+    for c in cells:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return inside.join(shifts, on).withColumn("_rank", F.col("_inside") + F.col("_before")).drop("_h", "_range", "_k", "_inside", "_before", *[f"_k_{c}" for c in cells])
+
+
+def grouped_split(rows: DataFrame, group: str, share: float = 0.10) -> DataFrame:
+    """``rows`` with ``split``: the first floor(groups x share) groups in hash order are val, all members follow."""
+    groups = cell_rank(rows.select(group).distinct(), group)
+    val = groups.filter(F.col("_rank") <= F.floor(F.col("_n") * F.lit(share))).select(F.col(group).alias("_group"), F.lit("val").alias("_split"))
+    joined = rows.join(val, F.col(group).eqNullSafe(F.col("_group")), "left")
+    return joined.withColumn("split", F.coalesce("_split", F.lit("train"))).drop("_group", "_split")
 
 
 def stratified_split(rows: DataFrame, key: str, cells: Sequence[str], share: float = 0.10) -> DataFrame:
-    """``rows`` with ``split``: floor(n x share) of each cell are val (X2); null is a cell."""
-    cell = Window.partitionBy(*cells)
-    rank = F.row_number().over(cell.orderBy(draw(F.col(key)), key))
-    return rows.withColumn("split", F.when(rank <= F.floor(F.count("*").over(cell) * F.lit(share)), "val").otherwise("train"))
+    """``rows`` with ``split``: floor(n x share) of each cell are val."""
+    chosen = F.col("_rank") <= F.floor(F.col("_n") * F.lit(share))
+    return cell_rank(rows, key, cells).withColumn("split", F.when(chosen, "val").otherwise("train")).drop("_rank", "_n")
 
 
-def per_cell(rows: DataFrame, key: str, cells: Sequence[str], cap: Column) -> DataFrame:
-    """At most ``cap`` rows of each cell in hash order."""
+def per_cell(rows: DataFrame, key: str, cells: Sequence[str], cap: int) -> DataFrame:
+    """At most ``cap`` rows of each cell in hash order (X4): tasks keep no more than that before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*cells).orderBy(draw(F.col(key)), key))
     return rows.withColumn("_rank", rank).filter(F.col("_rank") <= cap).drop("_rank")
 
 
 def equal_allocation(rows: DataFrame, key: str, cells: Sequence[str], total: int) -> DataFrame:
     """max(1, total // cells) rows of each cell."""
-    n = rows.select(*cells).distinct().agg(F.count("*").alias("_cells"))
-    wide = rows.crossJoin(F.broadcast(n))
-    return per_cell(wide, key, cells, F.greatest(F.lit(1), F.floor(F.lit(total) / F.col("_cells")))).drop("_cells")
+    n = rows.select(*cells).distinct().agg(F.count("*").alias("_cells"))  # one row
+    ranked = cell_rank(rows, key, cells).join(F.broadcast(n))
+    return ranked.filter(F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.lit(total) / F.col("_cells")))).drop("_rank", "_n", "_cells")
 
 
 def fraction_per_cell(rows: DataFrame, key: str, cells: Sequence[str], share: float) -> DataFrame:
     """round(n x share) rows of each cell."""
-    cell = Window.partitionBy(*cells)
-    rank = F.row_number().over(cell.orderBy(draw(F.col(key)), key))
-    return rows.withColumn("_rank", rank).withColumn("_n", F.count("*").over(cell)).filter(F.col("_rank") <= F.round(F.col("_n") * share)).drop("_rank", "_n")
+    return cell_rank(rows, key, cells).filter(F.col("_rank") <= F.round(F.col("_n") * share)).drop("_rank", "_n")
 
 
 def capped(rows: DataFrame, key: str, limit: int) -> DataFrame:

@@ -18,11 +18,48 @@ def long_features(rows: DataFrame, key: str, features: str = "features") -> Data
     return rows.select(key, F.posexplode(features).alias("idx", "v")).select(key, "idx", clean_number(F.col("v").cast("double")).alias("value"))
 
 
+#: Value ranges in which the ranks of a group are counted.
+RANGES = 256
+
+
+def quantiles(rows: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact linear quantiles: ``by``, ``p``, ``q``; nulls in ``value`` are left out, nulls in ``by`` are a group.
+
+    Values are counted, ranks run within ranges of the value and are shifted by
+    the ranges below, and each wanted rank is looked up in its range. No task
+    holds a group's values, as the built-in exact percentile would.
+    """
+    keys = [f"_b{i}" for i in range(len(by))]
+    named = rows.filter(F.col(value).isNotNull()).select(*[F.struct(F.col(c)).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("s"))
+    if not by:
+        keys, named = ["_b0"], named.withColumn("_b0", F.lit(0))
+    counts = named.groupBy(*keys, "s").agg(F.count("*").alias("c"))
+    bounds = counts.groupBy(*keys).agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("c").alias("n"))
+    place = F.coalesce(F.try_divide(F.col("s") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    ranged = counts.join(bounds, keys).withColumn("r", F.least(F.floor(place * RANGES), F.lit(RANGES - 1)).cast("int"))
+    below = Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    totals = ranged.groupBy(*keys, "r").agg(F.sum("c").alias("t")).withColumn("base", F.sum("t").over(below) - F.col("t"))
+    at = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
+    wanted = bounds.select(*keys, "n", at).withColumn("h", F.col("p") * (F.col("n") - 1)).withColumn("k0", F.floor("h"))
+    wanted = wanted.select(*keys, "p", "h", "k0", F.explode(F.array(F.col("k0"), F.least(F.col("k0") + 1, F.col("n") - 1))).alias("k")).distinct()
+    # both sides hold a fixed number of rows per group
+    placed = wanted.join(totals, keys).filter((F.col("k") >= F.col("base")) & (F.col("k") < F.col("base") + F.col("t")))
+    run = F.sum("c").over(Window.partitionBy(*keys, "r").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = ranged.withColumn("upto", run).select(*keys, "r", "s", "c", "upto")
+    found = placed.join(ranks, [*keys, "r"]).filter((F.col("k") < F.col("base") + F.col("upto")) & (F.col("k") >= F.col("base") + F.col("upto") - F.col("c")))
+    ends = found.groupBy(*keys, "p").agg(F.min(F.struct("k", "s")).alias("a"), F.max(F.struct("k", "s")).alias("b"), F.max(F.col("h") - F.col("k0")).alias("f"))
+    q = F.col("a.s") + (F.col("b.s") - F.col("a.s")) * F.col("f")
+    return ends.select(*[F.col(k)[c].alias(c) for c, k in zip(by, keys, strict=False)], "p", q.alias("q"))
+
+
+def _at(p: float) -> Column:
+    return F.max(F.when(F.col("p") == p, F.col("q")))
+
+
 def robust_scale(values: DataFrame, by: Sequence[str] = ("idx",)) -> DataFrame:
     """``center`` (median) and ``scale`` (interquartile range, 0 becomes 1) of each feature."""
-    q = values.groupBy(*by).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    spread = F.col("q")[2] - F.col("q")[0]
-    return q.select(*by, F.col("q")[1].alias("center"), F.when(spread == 0, 1.0).otherwise(spread).alias("scale"))
+    q = quantiles(values, "value", (0.25, 0.5, 0.75), by).groupBy(*by).agg(_at(0.25).alias("a"), _at(0.5).alias("center"), _at(0.75).alias("b"))
+    return q.select(*by, "center", F.when(F.col("b") == F.col("a"), 1.0).otherwise(F.col("b") - F.col("a")).alias("scale"))
 
 
 def apply_scale(values: DataFrame, fitted: DataFrame, by: Sequence[str] = ("idx",)) -> DataFrame:
@@ -35,7 +72,7 @@ def mutual_information(values: DataFrame, label: str, by: Sequence[str] = ("idx"
 
     A binned estimate in place of a nearest-neighbour one: it needs counts only.
     """
-    cuts = values.groupBy(*by).agg(F.percentile("value", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("cuts"))
+    cuts = quantiles(values, "value", [i / bins for i in range(1, bins)], by).groupBy(*by).agg(F.array_sort(F.collect_list("q")).alias("cuts"))
     binned = values.join(cuts, list(by)).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("value"))))
     joint = binned.groupBy(*by, "bin", label).agg(F.count("*").alias("n"))
     n_bin, n_label, n_all = (F.sum("n").over(Window.partitionBy(*by, *more)) for more in (("bin",), (label,), ()))
@@ -53,14 +90,21 @@ def content_fingerprint(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.pmod(F.coalesce(F.sum(h), F.lit(0)), F.lit(281474976710656)).cast("bigint").alias("digest"))
 
 
-def ordered_fingerprint(rows: DataFrame, key: str, text: str, blocks: int = 1000) -> DataFrame:
-    """SHA-1 over block digests in key order: order-sensitive, with the texts reduced to digests first.
+def ordered_fingerprint(rows: DataFrame, key: str, text: str, block: int = 1000, levels: int = 2) -> DataFrame:
+    """SHA-1 in key order: texts become digests, then blocks of ``block`` keys, then blocks of blocks.
 
-    Blocks are runs of keys, so the last step sees one digest per ``blocks`` keys.
+    No task holds more than ``block`` digests but the last, which holds one for
+    ``block`` to the power of ``levels`` keys.
     """
-    one = rows.select(F.floor(F.col(key) / blocks).alias("b"), F.struct(F.col(key), F.sha1(F.coalesce(text, F.lit(""))).alias("h")).alias("x"))
-    block = one.groupBy("b").agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), "|")).alias("h"))
-    return block.agg(F.substring(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "|")), 1, 12).alias("digest"))
+
+    def folded(df: DataFrame) -> DataFrame:
+        return df.groupBy("b").agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "|")).alias("h"))
+
+    level = folded(rows.select(F.floor(F.col(key) / block).alias("b"), F.col(key).alias("k"), F.sha1(F.coalesce(text, F.lit(""))).alias("h")))
+    for _ in range(levels - 1):
+        level = folded(level.select(F.floor(F.col("b") / block).alias("b"), F.col("b").alias("k"), "h"))
+    last = F.array_sort(F.collect_list(F.struct(F.col("b").alias("k"), "h")))
+    return level.agg(F.substring(F.sha1(F.array_join(F.transform(last, lambda x: x["h"]), "|")), 1, 12).alias("digest"))
 
 
 def composition(rows: DataFrame, group: str, label: str) -> DataFrame:

@@ -222,7 +222,7 @@ def q14(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q14_per_class_sample", "SELECT doc_id, label FROM documents QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42|' || doc_id), doc_id) <= 120")
 def q14c(spark: SparkSession, d: str) -> DataFrame:
-    return split.per_cell(table(spark, d, "documents").select("doc_id", "label"), "doc_id", ["label"], F.lit(120)).select("doc_id", "label")
+    return split.per_cell(table(spark, d, "documents").select("doc_id", "label"), "doc_id", ["label"], 120).select("doc_id", "label")
 
 
 @query("q14_fraction_sample", "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY label, domain ORDER BY md5('42|' || doc_id), doc_id) <= round(count(*) OVER (PARTITION BY label, domain) * 0.25)")
@@ -616,7 +616,8 @@ def q42(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "q42_ordered_fingerprint",
-    "WITH b AS (SELECT doc_id // 1000 AS b, sha1(string_agg(sha1(coalesce(text, '')), '|' ORDER BY doc_id)) AS h FROM documents GROUP BY 1) SELECT substr(sha1(string_agg(h, '|' ORDER BY b)), 1, 12) AS digest FROM b",
+    """WITH b AS (SELECT doc_id // 1000 AS b, sha1(string_agg(sha1(coalesce(text, '')), '|' ORDER BY doc_id)) AS h FROM documents GROUP BY 1), c AS (SELECT b // 1000 AS c, sha1(string_agg(h, '|' ORDER BY b)) AS h FROM b GROUP BY 1)
+    SELECT substr(sha1(string_agg(h, '|' ORDER BY c)), 1, 12) AS digest FROM c""",
 )
 def q42o(spark: SparkSession, d: str) -> DataFrame:
     return stats.ordered_fingerprint(table(spark, d, "documents"), "doc_id", "text")
