@@ -80,3 +80,21 @@ def without_sentence(text: Column, sentence: Column) -> Column:
 def slug(text: Column) -> Column:
     """A name fit for a file: every other character becomes an underscore."""
     return F.regexp_replace(text, r"[^\p{L}\p{N}_.-]", "_")
+
+
+def title_in_prompt(prompt: Column) -> Column:
+    """The quoted title after "from title" in a prompt (F8); '' where there is none."""
+    return F.trim(F.regexp_extract(prompt, "from title '([^']+)'", 1))
+
+
+def label_polarity(name: Column) -> Column:
+    """1 for a label name that means machine, 0 for one that means human, else null."""
+    n = F.lower(name)
+    machine = n.rlike(r"(^|[^a-z])(ai|machine|generated|fake|gpt|llm|synthetic)([^a-z]|$)")
+    human = n.rlike(r"(^|[^a-z])(human|real|organic|person)([^a-z]|$)")
+    return F.when(machine & ~human, 1).when(human & ~machine, 0)
+
+
+def composite_key(*parts: Column) -> Column:
+    """Parts joined by a bar (F13); null parts are empty, so that places stay apart."""
+    return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

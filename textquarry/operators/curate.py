@@ -96,3 +96,14 @@ def variants_per_group(rows: DataFrame, lineage: str = "lineage_id") -> DataFram
     """Matched rows, lineages and their ratio, unmatched ids left out."""
     real = rows.filter(~F.col(lineage).startswith("_um_"))
     return real.agg(F.count("*").alias("n_rows"), F.count_distinct(lineage).alias("n_groups"), F.round(F.count("*") / F.greatest(F.count_distinct(lineage), F.lit(1)), 6).alias("ratio"))
+
+
+def usable_prompt(title: Column, human: Column, least: int = 50) -> Column:
+    """A title that is neither blank nor sensitive, with a human text of ``least`` words (P9, P10); false for null."""
+    named = F.length(F.trim(F.coalesce(title, F.lit("")))) > 0
+    return F.coalesce(named & ~sensitive_title(title) & (word_count(human) >= least), F.lit(False))
+
+
+def not_yet_done(prompts: DataFrame, done: DataFrame, title: str = "title") -> DataFrame:
+    """Prompts whose title no stored record has: how an interrupted run goes on."""
+    return without_leaks(prompts, done, F.col(title), F.col(title))

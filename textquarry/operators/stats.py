@@ -114,3 +114,13 @@ def composition(rows: DataFrame, group: str, label: str) -> DataFrame:
     )
     total = F.max(F.when(F.col("_g") == 1, F.col("n"))).over(Window.partitionBy(F.lit(1)))
     return rolled.select(F.when(F.col("_g") == 1, "TOTAL").otherwise(F.col(group)).alias(group), "n", "human", "machine", F.round(F.col("n") / total, 6).alias("share"))
+
+
+def top_features(ranked: DataFrame, k: int = 30) -> DataFrame:
+    """The k features of greatest mutual information (T5); ties by index."""
+    return ranked.orderBy(F.desc("mi"), *[c for c in ranked.columns if c != "mi"]).limit(k)
+
+
+def chosen_features(features: Column, indices: Sequence[int]) -> Column:
+    """The listed elements of a feature array in order (P23); null where it is too short."""
+    return F.transform(F.array(*[F.lit(int(i)) for i in indices]), lambda i: F.get(features, i))
