@@ -104,3 +104,20 @@ def test_winnowed_terms_of_short_and_shifted_texts():
     a = "".join(rng.choice("xyz") for _ in range(50)) + run + "qq"
     b = "rr" + run + "".join(rng.choice("uvw") for _ in range(70))
     assert np.intersect1d(windows.winnowed(a, 28, 8), windows.winnowed(b, 28, 8)).size
+
+
+def test_a_third_of_all_rows_are_copies_and_near_copies(spark):
+    rng = random.Random(12)
+    hot = text(rng, 50)
+    texts = [hot] * 40 + [edited(rng, hot, rng.randrange(1, 6)) for _ in range(40)] + [text(rng, 50) for _ in range(160)]
+    rng.shuffle(texts)
+    split = ["train" if i % 3 else "val" for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(zip(texts, split, strict=True))], "row_id long, texts string, split string")
+    members, links = overlap.cross_overlaps(df, "row_id", "texts", F.col("split") == "train", F.col("split") == "val")
+    got = {tuple(r) for r in overlap.overlap_pairs(members, links, "row_id").collect()}
+    want = brute(texts, [(i, j) for i in range(len(texts)) for j in range(len(texts)) if split[i] == "val" and split[j] == "train"])
+    assert got <= want and len(got) >= 0.99 * len(want)
+    members, pairs, _ = forest.near_duplicates(df, "row_id", "texts")
+    got = {tuple(r) for r in forest.row_pairs(members, pairs, "row_id").collect()}
+    want = brute(texts, [(i, j) for i in range(len(texts)) for j in range(i)])
+    assert got <= want and len(got) >= 0.999 * len(want)

@@ -23,6 +23,8 @@ record serving the first such target.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -64,14 +66,20 @@ def _needed(targets: DataFrame) -> DataFrame:
 def cell_targets(cells: DataFrame, targets: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:
     """Which cell serves which target: ``spec_id``, ``target_id``, the categories, ``n``.
 
-    ``cells`` has a row per category combination, so the nested-loop join is
-    small by small: neither side grows with the rows.
+    A cell offers a key for each set of fields that a target may name, a target
+    has the key of the fields it names: an equi-join. Null fits no named value.
     """
-    t = targets.select("spec_id", "target_id", *[F.lower(_white(F.col(c))).alias(f"t_{c}") for c in categories])
-    fits = F.lit(True)
-    for c in categories:
-        fits = fits & (F.col(f"t_{c}").isNull() | (F.col(f"t_{c}") == F.col(c)))
-    return t.join(cells, fits, "inner").select("spec_id", "target_id", *categories, "n")
+
+    def key(values: Sequence[Column]) -> Column:
+        return F.array_join(F.array(*values), "\u0001")
+
+    t = targets.select("spec_id", "target_id", key([F.coalesce(F.lower(_white(F.col(c))), F.lit("\u0002")) for c in categories]).alias("_key"))
+    offers = []
+    for names in (set(x) for n in range(len(categories) + 1) for x in combinations(categories, n)):
+        known = reduce(lambda a, c: a & F.col(c).isNotNull(), names, F.lit(True))
+        offers.append(F.when(known, key([F.col(c) if c in names else F.lit("\u0002") for c in categories])))
+    offered = cells.select(*categories, "n", F.explode(F.array_compact(F.array(*offers))).alias("_key"))
+    return offered.join(t, "_key").select("spec_id", "target_id", *categories, "n")
 
 
 def sample_targets(records: DataFrame, targets: DataFrame, key: str = "id", categories: Sequence[str] = CATEGORIES, seed: str = "cube", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
