@@ -35,6 +35,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries kept in a worker's memory of encoded pre-tokens before it starts afresh.
 MEMORY_ENTRIES = 200_000
+#: Longer pre-tokens are encoded each time.
+MEMORY_CHARS = 64
 
 
 def byte_letters() -> list[str]:
@@ -118,12 +120,12 @@ class Encoder:
         if len(self.memory) + len(fresh) > MEMORY_ENTRIES:
             self.memory.clear()
             fresh = {p for pieces in cut for p in pieces}
-        if fresh:
-            order = list(fresh)
-            ids = self.processor.encode([spell(p.encode("utf-8", "surrogatepass")) for p in order], num_threads=1)
-            self.memory.update(zip(order, ids, strict=True))
+        order = list(fresh)
+        ids = self.processor.encode([spell(p.encode("utf-8", "surrogatepass")) for p in order], num_threads=1) if order else []
+        new = dict(zip(order, ids, strict=True))
+        self.memory.update((p, x) for p, x in new.items() if len(p) <= MEMORY_CHARS)
         known = self.memory
-        return [[i for p in pieces for i in known[p]] for pieces in cut]
+        return [[i for p in pieces for i in (known.get(p) or new[p])] for pieces in cut]
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text])[0]
