@@ -99,3 +99,14 @@ def test_splits_of_no_records_and_of_one_giant(spark):
     assert c.assign_records(spark.createDataFrame([], SCHEMA), "rec_id", FIELDS, targets, [F.lit(True)]).collect() == []
     giant = spark.createDataFrame([(i, "one", None) for i in range(50)], SCHEMA)
     assert {r.split for r in c.assign_records(giant, "rec_id", FIELDS, targets, [F.lit(True)]).collect()} == {"train"}
+
+
+def test_store_keeps_versions(spark, tmp_path):
+    store = c.ComponentStore(spark, str(tmp_path / "store"))
+    assert store.version() == 0 and store.table() is None
+    make = lambda x: spark.createDataFrame(x, "a string, b string")
+    store.update(make([("b", "c"), ("x", "y"), ("z", "z")]))
+    store.update(make([("a", "c")]))
+    assert store.version() == 2 and {tuple(r) for r in store.table().collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("z", "z")}
+    store.update(make([]))
+    assert store.version() == 3 and store.table().count() == 6

@@ -116,6 +116,41 @@ def _jump(parent: DataFrame, scratch: Scratch) -> DataFrame:
             return parent
 
 
+class ComponentStore:
+    """The component table kept below a folder, one subfolder per version.
+
+    An update reads the last version and writes the next one; a version exists
+    once its write has been committed, so a failed update leaves the last one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def version(self) -> int:
+        """Number of the last committed version; 0 where there is none."""
+        n = 0
+        while table_exists(self.spark, f"{self.path}/v{n + 1:06d}/_SUCCESS"):
+            n += 1
+        return n
+
+    def table(self) -> DataFrame | None:
+        n = self.version()
+        return self.spark.read.schema("key string, root string").parquet(f"{self.path}/v{n:06d}") if n else None
+
+    def update(self, edges: DataFrame) -> DataFrame:
+        """Take in new edges (``a``, ``b``); the new table."""
+        at = f"{self.path}/v{self.version() + 1:06d}"
+        scratch = Scratch(self.spark, "components")
+        update_components(self.spark, edges, self.table(), scratch).write.mode("overwrite").parquet(at)
+        scratch.finish()
+        return self.spark.read.schema("key string, root string").parquet(at)
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def record_groups(keys: DataFrame, record: str, table: DataFrame) -> DataFrame:
     """``record``, ``root`` of each record; a record without keys has a null root and is alone."""
     first = keys.select(record, F.element_at(F.when(F.size("keys") > 0, F.col("keys")), 1).alias("key"))
