@@ -24,6 +24,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_EDGES = r"'^[ \t\n\r\f\v\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+|[ \t\n\r\f\v\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+$'"
+
+
+def _cleaned(c: str) -> str:
+    return f"lower(regexp_replace({c}, {_EDGES}, '', 'g'))"
+
+
 @query("p5_ids")
 def p5_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, d, "documents"))
@@ -32,7 +39,20 @@ def p5_ids(spark: SparkSession, d: str) -> DataFrame:
 SPLIT_KEYS = ("adv_source_ids", "sources")
 
 
-@query("p3_found")
+def _key_sql(c: str, rank: int) -> str:
+    k = _cleaned(c)
+    return f"CASE WHEN {k} NOT IN ({', '.join(repr(x) for x in components.PLACEHOLDERS)}) AND NOT starts_with({k}, '{components.UNMATCHED_PREFIX}') THEN '{rank}:' || {k} END"
+
+
+@query(
+    "p3_found",
+    f"""WITH RECURSIVE k AS (SELECT rec_id, {_key_sql("adv_source_ids", 0)} AS a, {_key_sql("sources", 1)} AS s FROM split_pool),
+    e AS (SELECT DISTINCT a AS x, s AS y FROM k WHERE a IS NOT NULL AND s IS NOT NULL), edges AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+    nodes AS (SELECT a AS id FROM k WHERE a IS NOT NULL UNION SELECT s FROM k WHERE s IS NOT NULL),
+    cc(id, comp) USING KEY (id) AS (SELECT id, id AS comp FROM nodes UNION (SELECT u.id, min(v.comp) AS comp FROM recurring.cc u JOIN edges ON edges.x = u.id JOIN cc v ON v.id = edges.y WHERE v.comp < u.comp GROUP BY u.id)),
+    g AS (SELECT rec_id, comp, count(*) OVER (PARTITION BY comp) AS n FROM k JOIN cc ON cc.id = coalesce(a, s))
+    SELECT rec_id, substr(comp, 3) AS group_key FROM g WHERE n > 1""",
+)
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.grouped_records(table(spark, d, "split_pool"), "rec_id", SPLIT_KEYS)
 
@@ -59,13 +79,6 @@ def _balanced(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return balance.sample_targets(balance.usable_records(table(spark, d, "raid")), table(spark, d, "sample_targets"))
 
 
-_EDGES = r"'^[ \t\n\r\f\v\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+|[ \t\n\r\f\v\x{85}\x{A0}\x{2000}-\x{200A}\x{3000}]+$'"
-
-
-def _cleaned(c: str) -> str:
-    return f"lower(regexp_replace({c}, {_EDGES}, '', 'g'))"
-
-
 @query(
     "p2_found",
     f"""WITH last AS (SELECT * FROM raid QUALIFY id IS NULL OR row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) = 1),
