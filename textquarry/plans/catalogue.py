@@ -134,7 +134,15 @@ def q06s(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "generated_articles").select("article_id", "title", curate.sensitive_title(F.col("title")).alias("sensitive"), asked.alias("asked"))
 
 
-@query("q06_cleaned_generation")
+_HEAD = "array_to_string(list_slice(w, 1, 60), ' ')"
+_STOP = f"(CASE WHEN contains({_HEAD}, '.') THEN length({_HEAD}) - strpos(reverse({_HEAD}), '.') + 1 ELSE 0 END)"
+
+
+@query(
+    "q06_cleaned_generation",
+    rf"""WITH t AS (SELECT article_id, regexp_replace(machine_text, '(?i)^(sure[!,]?\s+here[^.]*\.\s*|here is[^.]*\.\s*)', '') AS t FROM generated_articles), w AS (SELECT article_id, t, {q.white_words("coalesce(t, '')")} AS w FROM t)
+    SELECT article_id, trim(CASE WHEN len(w) > 60 THEN CASE WHEN {_STOP} - 1 > length({_HEAD}) * 0.7 THEN substr({_HEAD}, 1, {_STOP}) ELSE {_HEAD} END ELSE t END) AS cleaned FROM w""",
+)
 def q06c(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "generated_articles").select("article_id", tokens.without_preamble(F.col("machine_text"), 60).alias("cleaned"))
 
@@ -350,8 +358,8 @@ query(
     k AS (SELECT *, list_sum(syl)::DOUBLE AS y, len(list_filter(syl, lambda v: v >= 3))::DOUBLE AS x FROM y WHERE s > 0),
     f AS (SELECT doc_id, 206.835::DOUBLE - 1.015::DOUBLE * w / s - 84.6::DOUBLE * y / w AS f48, 0.39::DOUBLE * w / s + 11.8::DOUBLE * y / w - 15.59::DOUBLE AS f49, 4.71::DOUBLE * c / w + 0.5::DOUBLE * w / s - 21.43::DOUBLE AS f50,
     0.0588::DOUBLE * (c / w * 100) - 0.296::DOUBLE * (s / w * 100) - 15.8::DOUBLE AS f51, 1.0430::DOUBLE * sqrt(x * (30 / s)) + 3.1291::DOUBLE AS f52, 15.79::DOUBLE * x / w + 0.0496::DOUBLE * w / s + CASE WHEN x / w > 0.05 THEN 3.6365 ELSE 0 END::DOUBLE AS f53 FROM k)
-    SELECT doc_id, {", ".join(f"round(coalesce(f{k}, 0), 6) + 0 AS f{k}" for k in range(48, 54))} FROM base LEFT JOIN f USING (doc_id)""",
-)(_features(features.readability_block))
+    SELECT doc_id, {", ".join(f"round(coalesce(f{k}, 0) + 1e-9, 6) + 0 AS f{k}" for k in range(48, 54))} FROM base LEFT JOIN f USING (doc_id)""",
+)(lambda spark, d: _rounded(features.readability_block(features.base(table(spark, d, "documents"))), 1e-9))
 
 
 def _share_sql(values) -> str:
@@ -390,11 +398,11 @@ def q26(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "q26_scaled_mean",
     f"""WITH {_LONG}, c AS (SELECT idx, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS e FROM long GROUP BY idx)
-    SELECT CAST(idx AS BIGINT) AS idx, round(avg((value - b) / CASE WHEN e = a THEN 1 ELSE e - a END), 6) + 0 AS mean_scaled FROM long JOIN c USING (idx) GROUP BY idx""",
+    SELECT CAST(idx AS BIGINT) AS idx, round(avg((value - b) / CASE WHEN e = a THEN 1 ELSE e - a END) + 1e-9, 6) + 0 AS mean_scaled FROM long JOIN c USING (idx) GROUP BY idx""",
 )
 def q26m(spark: SparkSession, d: str) -> DataFrame:
     values = stats.long_features(table(spark, d, "raid_ai_v217"), "cache_id")
-    return stats.apply_scale(values, stats.robust_scale(values)).groupBy(n64("idx").alias("idx")).agg(r6(F.avg("scaled")).alias("mean_scaled"))
+    return stats.apply_scale(values, stats.robust_scale(values)).groupBy(n64("idx").alias("idx")).agg(r6(F.avg("scaled") + 1e-9).alias("mean_scaled"))
 
 
 _DOC_LONG = "SELECT label, 'chars' AS name, length(text)::DOUBLE AS value FROM documents WHERE text IS NOT NULL AND label IS NOT NULL UNION ALL SELECT label, 'words', len({w})::DOUBLE FROM documents WHERE text IS NOT NULL AND label IS NOT NULL".format(w=q.white_words("text"))
@@ -539,19 +547,24 @@ def q33b(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- explanation and reports ----------------------------------------------------------------
-@query("q34_protected_sentences")
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    out = explain.sentence_table(table(spark, d, "documents"), "doc_id", "text")
+    return out.select("doc_id", n64("idx").alias("idx"), "sentence", n64("n_words").alias("n_words"))
+
+
+@query("q34_protected_sentences", f"WITH {q.SENTENCES} SELECT * FROM sents")
 def q34(spark: SparkSession, d: str) -> DataFrame:
-    return explain.sentence_table(table(spark, d, "documents"), "doc_id", "text")
+    return _sentences(spark, d)
 
 
-@query("q35_word_budget")
+@query("q35_word_budget", f"WITH {q.BUDGET} SELECT * FROM kept")
 def q35(spark: SparkSession, d: str) -> DataFrame:
-    return explain.within_budget(explain.sentence_table(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return explain.within_budget(_sentences(spark, d), "doc_id")
 
 
-@query("q35_repeated_sentences")
+@query("q35_repeated_sentences", f"WITH {q.SENTENCES}, c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, sentence) AS c FROM sents) SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (c > 1) AS n_repeated FROM c GROUP BY doc_id")
 def q35r(spark: SparkSession, d: str) -> DataFrame:
-    return explain.repeated_sentences(explain.sentence_table(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return explain.repeated_sentences(_sentences(spark, d), "doc_id")
 
 
 def _linear():
@@ -559,9 +572,16 @@ def _linear():
     return linear({"words": (tokens.word_count, 0.05), "stops": (lambda t: F.length(t) - F.length(F.replace(t, F.lit("."), F.lit(""))), -0.4)}, bias=-1.0)
 
 
-@query("q36_leave_one_out")
+@query(
+    "q36_leave_one_out",
+    f"""WITH {q.BUDGET}, u AS (SELECT doc_id, sentence, min(idx) AS idx, any_value(n_words) AS n_words, count(*) AS times FROM kept GROUP BY doc_id, sentence), tried AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n_words DESC, idx) <= 12),
+    e AS (SELECT t.*, {q.linear("text")} AS doc_score, {q.linear("text")} - {q.linear("replace(text, sentence, ' ')")} AS effect, {q.linear("sentence")} AS alone FROM tried t JOIN l0 USING (doc_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(effect) DESC, idx) AS rank, max(abs(effect)) OVER (PARTITION BY doc_id) < 0.05::DOUBLE * greatest(abs(doc_score), 1) AS flat FROM e)
+    SELECT doc_id, idx, sentence, times, rank, flat, round(doc_score, 6) + 0 AS doc_score, round(effect, 6) + 0 AS effect, round(alone, 6) + 0 AS alone FROM r WHERE rank <= 5""",
+)
 def q36(spark: SparkSession, d: str) -> DataFrame:
-    return explain.leave_one_out(table(spark, d, "documents").filter("text IS NOT NULL"), "doc_id", "text", _linear())
+    out = explain.leave_one_out(table(spark, d, "documents").filter("text IS NOT NULL"), "doc_id", "text", _linear())
+    return out.select("doc_id", n64("idx").alias("idx"), "sentence", "times", n64("rank").alias("rank"), "flat", *[r6(F.col(c)).alias(c) for c in ("doc_score", "effect", "alone")])
 
 
 @query("q37_links", r"SELECT doc_id, regexp_extract(text, '(www\.[^\s]+|[A-Za-z0-9._-]+@[A-Za-z0-9.-]+)', 1) AS link, regexp_replace(source, '[^\p{L}\p{N}_.-]', '_', 'g') AS slug FROM documents WHERE text IS NOT NULL")

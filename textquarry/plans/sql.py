@@ -57,3 +57,27 @@ def folded(x: str) -> str:
 def first_folded(x: str) -> str:
     q = lambda s: s.replace("'", "''")
     return rf"regexp_replace(translate({x}, '{q(''.join(tables.FIRST_FOLDS))}', '{q(''.join(tables.FIRST_FOLDS.values()))}'), '\p{{Cf}}', '', 'g')"
+
+
+def protected_sentences(x: str) -> str:
+    """The splitter that protects abbreviations; a pattern after a non-word character runs twice, as matches may touch."""
+    edge = r"(^|[^\p{L}\p{N}_])"
+    one, two = "chr(1)", "chr(2)"
+    t = f"trim(regexp_replace({x}, '{WS}', ' ', 'g'), ' ')"
+    t = f"regexp_replace({t}, '{edge}({'|'.join(tables.SPLIT_ABBREVIATIONS)})\\.', '\\1\\2' || {one}, 'g')"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '{edge}([A-Z])\\.', '\\1\\2' || {one}, 'g')"
+    t = f"regexp_replace({t}, '([0-9])\\.([0-9])', '\\1' || {one} || '\\2', 'g')"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '{edge}([a-zA-Z])\\.([a-zA-Z])\\.', '\\1\\2' || {one} || '\\3' || {one}, 'g')"
+    t = f"regexp_replace(replace({t}, '...', repeat({one}, 3)), '([.!?]+[\"'')\\]]?) +', '\\1' || {two}, 'g')"
+    return f"list_filter(list_transform(string_split({t}, {two}), lambda v: replace(trim(v, ' '), {one}, '.')), lambda v: v <> '')"
+
+
+SENTENCES = f"""l0 AS (SELECT doc_id, text, {protected_sentences("coalesce(text, '')")} AS s FROM documents),
+sents AS (SELECT doc_id, sentence, idx, len({white_words("sentence")}) AS n_words FROM (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS idx FROM l0))"""
+BUDGET = f"""{SENTENCES}, kept AS (SELECT doc_id, sentence, idx, n_words FROM (SELECT *, sum(n_words) OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM sents) WHERE run <= 380 AND n_words >= 10)"""
+
+
+def linear(x: str) -> str:
+    return f"((-1.0::DOUBLE + 0.05::DOUBLE * len({white_words(x)})) + -0.4::DOUBLE * (length({x}) - length(replace({x}, '.', ''))))"
