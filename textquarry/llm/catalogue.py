@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm import balance, components, forest, mixing, overlap, sentences, tokenize
@@ -71,52 +71,8 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Records, groups and share of each split against its target."""
     out = p3_assigned(spark, d)
     got = out.groupBy("split").agg(F.count("*").alias("n_records"), F.count_distinct(F.coalesce("group_key", F.concat(F.lit("r:"), F.col("rec_id").cast("string")))).alias("n_groups"))
-    total = got.select(F.sum("n_records").alias("total"))
-    return got.join(table(spark, d, "split_targets"), "split", "full").crossJoin(F.broadcast(total)).select("split", "target_share", "n_records", "n_groups", F.round(F.col("n_records") / F.col("total"), 6).alias("actual_share"))
-
-
-def _balanced(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return balance.sample_targets(balance.usable_records(table(spark, d, "raid")), table(spark, d, "sample_targets"))
-
-
-@query(
-    "p2_found",
-    f"""WITH last AS (SELECT * FROM raid QUALIFY id IS NULL OR row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) = 1),
-    u AS (SELECT {_cleaned("domain")} AS d, {_cleaned("model")} AS m, {_cleaned("attack")} AS a, true AS ok FROM last WHERE length(regexp_replace(coalesce(generation, ''), {_EDGES}, '', 'g')) > 0)
-    SELECT target_id FROM sample_targets t LEFT JOIN u ON (t.domain IS NULL OR {_cleaned("t.domain")} = d) AND (t.model IS NULL OR {_cleaned("t.model")} = m) AND (t.attack IS NULL OR {_cleaned("t.attack")} = a)
-    GROUP BY target_id, min_rows, target_share, sample_size HAVING count(ok) < greatest(min_rows, round(target_share * sample_size))""",
-)
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _balanced(spark, d)[1].filter("available < needed").select("target_id")
-
-
-@query("p2_sample")
-def p2_sample(spark: SparkSession, d: str) -> DataFrame:
-    return _balanced(spark, d)[0]
-
-
-@query("p2_report")
-def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    return _balanced(spark, d)[1]
-
-
-def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix_sources(mixing.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_targets"))
-
-
-@query("p6_found")
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed(spark, d)[1].filter("NOT reachable").select("mix_id", "source")
-
-
-@query("p6_drawn")
-def p6_drawn(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed(spark, d)[0]
-
-
-@query("p6_report")
-def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed(spark, d)[1]
+    share = F.round(F.col("n_records") / F.sum("n_records").over(Window.partitionBy(F.lit(1))), 6)  # a row per split
+    return got.join(table(spark, d, "split_targets"), "split", "full").select("split", "target_share", "n_records", "n_groups", share.alias("actual_share"))
 
 
 def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
