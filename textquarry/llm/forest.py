@@ -48,12 +48,18 @@ def signature(text: str, trees: int = TREES, depth: int = DEPTH) -> np.ndarray:
     a, b = _COEFFICIENTS.setdefault((trees, depth), _coefficients(trees * depth))
     x = (mix64(window_codes(text)) >> np.uint64(32)).astype(np.uint32)
     least = np.full(trees * depth, 0xFFFFFFFF, np.uint32)
-    for start in range(0, len(x), 64):
-        part = x[start : start + 64]
-        np.minimum(least, (a[:, None] * part[None, :] + b[:, None]).min(axis=1), out=least)
+    hashed = np.empty((CHUNK, trees * depth), np.uint32)
+    for start in range(0, len(x), CHUNK):
+        part = x[start : start + CHUNK, None]
+        here = hashed[: len(part)]
+        np.multiply(part, a, out=here)
+        np.add(here, b, out=here)
+        np.minimum(least, here.min(axis=0), out=least)
     return least.reshape(trees, depth)
 
 
+#: Windows hashed at a time, so that the table stays in the cache.
+CHUNK = 64
 _COEFFICIENTS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
