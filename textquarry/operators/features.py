@@ -29,10 +29,20 @@ PUNCTUATION = r"""[!-/:-@\[-`{-~]"""
 LEAST_CHARS, LEAST_WORDS = 20, 10
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows hashed by key into as many partitions as shuffles have, at least one a core.
+
+    A given number is kept by adaptive execution, which would otherwise merge the
+    small texts into one task before they are taken apart into many words.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), KEY)
+
+
 def base(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id``, ``t`` (trimmed), ``w`` (words), ``s`` (sentences) of documents that pass the guards, placed by key."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), EDGES, "")
-    rows = docs.select(KEY, t.alias("t")).filter(F.length("t") >= LEAST_CHARS).repartition(KEY)
+    rows = placed(docs.select(KEY, t.alias("t")).filter(F.length("t") >= LEAST_CHARS))
     return rows.select(KEY, "t", words(F.col("t")).alias("w"), naive_sentences(F.col("t")).alias("s")).filter(F.size("w") >= LEAST_WORDS)
 
 
@@ -252,8 +262,8 @@ def all_features(docs: DataFrame, text: str = "text", perplexity: DataFrame | No
     """
     from textquarry.storage import Scratch
 
-    rows = Scratch(docs.sparkSession, "features").save(base(docs, text), "base").repartition(KEY)
-    out = docs.select(KEY).repartition(KEY)
+    rows = placed(Scratch(docs.sparkSession, "features").save(base(docs, text), "base"))
+    out = placed(docs.select(KEY))
     for block in BLOCKS:
         out = out.join(block(rows), KEY, "left")
     if perplexity is not None:
