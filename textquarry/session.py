@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +33,26 @@ def build_session(cores: str | int = "*", app: str = "textquarry", shuffle_parti
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session, once.
+
+    The workers import the modules that Arrow functions live in; where the package
+    is not installed on the executors, Spark distributes it from the driver.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_textquarry_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="textquarry-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    at = os.path.join(folder, "textquarry.zip")
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as out:
+        for where, _, names in sorted(os.walk(package)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(where, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(at)
+    context._textquarry_shipped = True  # type: ignore[attr-defined]
