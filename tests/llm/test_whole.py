@@ -35,3 +35,16 @@ def test_overlaps_of_a_third_of_all_rows_that_are_different_variants(spark):
     rng.shuffle(texts)
     got, want = overlaps(spark, texts, ["val" if i % 3 == 0 else "train" for i in range(len(texts))])
     assert len(want) > 1000 and got == want
+
+
+def test_overlaps_of_short_texts_and_of_spread_edits(spark):
+    rng = random.Random(23)
+    texts = []
+    for n, edits in ((20, 0), (20, 0), (40, 1), (40, 1), (80, 2), (80, 3), (150, 6), (150, 6), (300, 12)) * 4:
+        base = letters(rng, n)
+        other = list(base)
+        for k in range(edits):
+            other[(2 * k + 1) * n // (2 * edits)] = "0"
+        texts += [base, "".join(other) + ("" if edits else "q")]
+    got, want = overlaps(spark, texts, ["val" if i % 2 else "train" for i in range(len(texts))])
+    assert len(want) >= 36 and got == want
