@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 from test_near import brute, text
 
-from textquarry.llm import overlap
+from textquarry.llm import forest, overlap
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,3 +48,14 @@ def test_overlaps_of_short_texts_and_of_spread_edits(spark):
         texts += [base, "".join(other) + ("" if edits else "q")]
     got, want = overlaps(spark, texts, ["val" if i % 2 else "train" for i in range(len(texts))])
     assert len(want) >= 36 and got == want
+
+
+def test_forest_reaches_the_recall_at_the_threshold_whatever_else_is_found(spark):
+    rng = random.Random(22)
+    base = letters(rng, 300)
+    hot = [substituted(rng, base, 1) for _ in range(40)]
+    cold = [letters(rng, 300) for _ in range(40)]
+    for texts in (hot + cold, cold):
+        df = spark.createDataFrame(list(enumerate(texts)), "cache_id long, texts string")
+        _, _, log = forest.near_duplicates(df, "cache_id", "texts")
+        assert 1 - (1 - forest.SIMILARITY ** log[-1]["depth"]) ** forest.TREES >= forest.RECALL

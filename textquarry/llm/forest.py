@@ -3,11 +3,11 @@
 A MinHash LSH forest over the windows of folded texts. Each of ``TREES`` trees
 labels a text with ``DEPTH`` minima; texts whose labels share a prefix in a tree
 are candidates. The postings of a tree are sorted by label, so that prefixes are
-runs of a trie. Matching starts with whole labels and shortens the prefix until
-the target recall is reached, which is estimated from the verified pairs
-themselves: a pair of similarity s is found at depth d with probability
-1 - (1 - s^d)^TREES, so the pairs found stand for the sum of the inverse
-probabilities. Every candidate is verified exactly.
+runs of a trie. A pair of similarity s is found at depth d with probability
+1 - (1 - s^d)^TREES. The prefix is shortened until that reaches the target recall for
+a pair at the threshold, whatever the other pairs are. The recall over all pairs is
+estimated too, as the pairs found stand for the sum of the inverse probabilities; it
+can only shorten the prefix further. Every candidate is verified exactly.
 
 Texts with equal letters are one representative, so copies cost nothing.
 Buckets are joined by key, where adaptive execution splits hot ones; no bucket
@@ -29,9 +29,7 @@ from textquarry.llm.windows import mix64, text_classes, verified, window_codes
 from textquarry.storage import Scratch, spread
 
 TREES, DEPTH = 96, 8
-#: The trie is cut at this depth in the first pass; shorter prefixes are further passes.
-FIRST_PASS = 7
-#: Prefixes are shortened until this estimated share of the near pairs is found.
+#: Prefixes are shortened until a pair at the threshold is found with this probability.
 RECALL = 0.99999
 #: At this depth a pair at the threshold is missed once in millions; shortening ends.
 LEAST_DEPTH = 3
@@ -68,6 +66,11 @@ def found_probability(similarity: Column, depth: int, trees: int = TREES) -> Col
     return 1 - F.pow(1 - F.pow(similarity, F.lit(depth)), F.lit(trees))
 
 
+def sure(least: float, depth: int, trees: int = TREES) -> float:
+    """Chance that a pair at the threshold shares a prefix of ``depth`` in at least one tree."""
+    return 1 - (1 - least**depth) ** trees
+
+
 def postings(reps: DataFrame, cut: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """``rep``, ``bucket`` (tree and first ``cut`` minima), ``tail`` (16 bits of each of the next two): a trie row per tree."""
 
@@ -104,14 +107,16 @@ def trie_pairs(trie: DataFrame, cut: int, depth: int = DEPTH) -> DataFrame:
 def near_pairs(reps: DataFrame, scratch: Scratch, least: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, list[dict]]:
     """(pairs, log): ``x`` < ``y``, ``similarity`` of the representatives that are near.
 
-    ``log`` has for each step the depth, its candidates, the pairs so far and the estimated recall.
+    ``log`` has for each step the depth, the pairs so far, the estimated recall over all pairs (null if
+    none is found) and ``sure``, the chance of a pair at the threshold. The trie is cut at the depth
+    where that chance reaches ``recall``: no longer prefix can be the last.
     """
     spark = reps.sparkSession
     shown = reps.select("rep", "letters")
     found: list[DataFrame] = []
     tried: list[DataFrame] = []
     log: list[dict] = []
-    cut = FIRST_PASS
+    first = cut = next((d for d in range(DEPTH, LEAST_DEPTH, -1) if sure(least, d) >= recall), LEAST_DEPTH)
     pairs = None
     while True:
         trie = scratch.save(postings(reps, cut).repartition("bucket").sortWithinPartitions("bucket", "tail"), f"trie{cut}")
@@ -121,21 +126,19 @@ def near_pairs(reps: DataFrame, scratch: Scratch, least: float = SIMILARITY, rec
         fresh = scratch.save(fresh, f"pairs{cut}")
         scratch.drop(trie)
         tried.append(fresh)
-        top = DEPTH if cut == FIRST_PASS else cut + 1
-        for depth in range(top, cut - 1, -1):
-            step = fresh.filter(F.col("level") == depth)
+        for depth in range(min(cut + 2, DEPTH) if cut == first else cut, cut - 1, -1):
+            step = fresh.filter(F.col("level") == depth) if cut == first else fresh
             texts = step.select("x", "y").join(shown.select(F.col("rep").alias("x"), F.col("letters").alias("letters_a")), "x").join(shown.select(F.col("rep").alias("y"), F.col("letters").alias("letters_b")), "y")
             found.append(scratch.save(verified(texts.repartition("x").sortWithinPartitions("x"), least), f"near{depth}"))
             pairs = found[0]
             for more in found[1:]:
                 pairs = pairs.unionByName(more)
             got = pairs.agg(F.count("*").alias("n"), F.sum(1 / found_probability(F.col("similarity"), depth)).alias("all")).first()
-            estimate = got["n"] / got["all"] if got["n"] else 1.0
-            log.append({"depth": depth, "pairs": got["n"], "recall": estimate})
-            sure = 1 - (1 - least**depth) ** TREES  # of a pair at the threshold
-            if (estimate >= recall and sure >= 0.75) or depth <= LEAST_DEPTH:
+            estimate = got["n"] / got["all"] if got["n"] else None
+            log.append({"depth": depth, "pairs": got["n"], "recall": estimate, "sure": sure(least, depth)})
+            if (sure(least, depth) >= recall and (estimate is None or estimate >= recall)) or depth <= LEAST_DEPTH:
                 return pairs, log
-        cut -= 2
+        cut -= 1
 
 
 def near_duplicates(rows: DataFrame, key: str, text: str, least: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame, list[dict]]:
