@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 from test_near import brute, text
+from test_sentences import corpus
 
-from textquarry.llm import forest, overlap
+from textquarry.llm import forest, overlap, sentences
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,3 +60,11 @@ def test_forest_reaches_the_recall_at_the_threshold_whatever_else_is_found(spark
         df = spark.createDataFrame(list(enumerate(texts)), "cache_id long, texts string")
         _, _, log = forest.near_duplicates(df, "cache_id", "texts")
         assert 1 - (1 - forest.SIMILARITY ** log[-1]["depth"]) ** forest.TREES >= forest.RECALL
+
+
+def test_reporting_words_are_a_share_of_their_occurrences(spark):
+    more = [(2000 + i, '"Go on," he said. A bird saw he was near and he sang while he ran as he could when he woke if he slept. "We know," said Nordik.', "en") for i in range(30)]
+    more += [(3000 + i, '"Go on," man. Now a man saw a man and a man met a man by a man near a man with a man or a man for a man.', "en") for i in range(30)]
+    docs = spark.createDataFrame(corpus() + more, "doc_id long, text string, lang string")
+    words = {r.word for r in sentences.learn(docs).filter("kind = 'report' AND lang = 'en'").collect()}
+    assert "said" in words and not {"he", "man"} & words

@@ -40,6 +40,8 @@ SIGNIFICANT = 10.83
 STARTER_SHARE = 0.6
 #: Least share of followers other than starters for an abbreviation, and of starters among capitals for one that can end.
 ABBREVIATION_SHARE, ENDING_SHARE = 0.5, 0.35
+#: Least share of a reporting word's occurrences that follow quoted speech.
+REPORT_SHARE = 0.2
 #: An abbreviation stands without its period at most this often for each time with it.
 BARE_RATIO = 10
 
@@ -320,7 +322,13 @@ def learn(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     short = tested.filter((F.col("k") / F.col("n") >= ABBREVIATION_SHARE) & (F.col("k") / F.col("n") > F.col("k_all") / F.col("n_all")) & (F.col("bare") <= BARE_RATIO * F.col("n")))
     short = short.filter(_ratio(F.col("k"), F.col("n"), F.col("k_all"), F.col("n_all")) > SIGNIFICANT)
     short = short.select("lang", F.lit("abbreviation").alias("kind"), "word", (F.col("st") >= ENDING_SHARE * F.greatest("cap", F.lit(1))).alias("ends"))
-    reports = seen.filter("kind = 'R' AND n > 1").select("lang", F.lit("report").alias("kind"), "word", F.lit(False).alias("ends"))
+    after = seen.filter("kind = 'R'").select("lang", "word", F.col("n").alias("k"))
+    said = after.join(bare, ["lang", "word"]).withColumn("bare", F.greatest("bare", "k"))
+    spoken = after.groupBy("lang").agg(F.sum("k").alias("k_all")).join(bare.groupBy("lang").agg(F.sum("bare").alias("n_all")), "lang")
+    said = said.join(F.broadcast(spoken), "lang").filter((F.col("k") / F.col("bare") >= REPORT_SHARE) & (F.col("k") / F.col("bare") > F.col("k_all") / F.col("n_all")))
+    said = said.filter(_ratio(F.col("k"), F.col("bare"), F.col("k_all"), F.col("n_all")) > SIGNIFICANT).join(starters, ["lang", "word"], "left_anti")
+    function_words = F.coalesce(F.array_contains(F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in SHORT_WORDS.items() for x in pair])[F.col("lang")], F.col("word")), F.lit(False))
+    reports = said.filter(~function_words).select("lang", F.lit("report").alias("kind"), "word", F.lit(False).alias("ends"))
     return scratch.save(starters.select("lang", F.lit("starter").alias("kind"), "word", F.lit(False).alias("ends")).unionByName(short).unionByName(reports), "model")
 
 
