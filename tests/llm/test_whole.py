@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 from test_near import brute, text
-from test_sentences import corpus
+from test_sentences import corpus, cut
 
 from textquarry.llm import forest, overlap, sentences
 
@@ -68,3 +68,8 @@ def test_reporting_words_are_a_share_of_their_occurrences(spark):
     docs = spark.createDataFrame(corpus() + more, "doc_id long, text string, lang string")
     words = {r.word for r in sentences.learn(docs).filter("kind = 'report' AND lang = 'en'").collect()}
     assert "said" in words and not {"he", "man"} & words
+
+
+def test_joined_model_looks_up_the_tail_of_a_word(spark):
+    texts = [("Er sah den Haupt-Dr.Nordik und ging.", "de")]
+    assert cut(spark, texts, max_rows=0) == cut(spark, texts) == [[texts[0][0]]]

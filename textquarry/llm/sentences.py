@@ -501,7 +501,9 @@ def split_sentences(docs: DataFrame, doc: str = "doc_id", text: str = "text", la
                     block = t[a:b]
                     tongue = language(block, x)
                     for m in marks(block, pairs(block)):
-                        own |= {(tongue, key(w)) for w in (m.word, m.next) if w}
+                        tail = TAIL.search(m.word)
+                        own |= {(tongue, key(w)) for w in (m.word, m.next, tail[0] if tail else "") if w}
+                        own.add((tongue, key(m.word).rsplit(".", 1)[-1]))
             take = pa.array([i for i, own in enumerate(counts) for _ in own], pa.int64())
             flat = [p for own in counts for p in own]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array([p[0] for p in flat], pa.string()), pa.array([p[1] for p in flat], pa.string())], names=[doc, "lang", "word"])
