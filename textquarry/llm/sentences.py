@@ -2,7 +2,8 @@
 
 Two passes. The first counts, over all documents and per language: which words
 open paragraphs and follow sure ends (sentence starters), what follows each word
-that carries a period (collocations), and how often words stand without one.
+that carries a period, and how often words stand without one. Pairs of a word and
+its follower (collocations) are not tested and are left out of the model.
 Log-likelihood ratios turn the counts into a model: a starter opens sentences
 more often than it stands inside; an abbreviation is a word whose period is followed
 by something other than a starter more often than periods are in general; it
