@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.normalize import fold_letters
 from textquarry.llm import forest, overlap, windows
+from textquarry.storage import Scratch
 
 WORDS = "red boat river lantern quiet table seven green over under market stone bread window paper garden music train cloud winter".split()
 
@@ -97,13 +98,44 @@ def test_no_rows_and_one_side(spark):
     assert forest.row_pairs(members, pairs, "row_id").collect() == []
 
 
-def test_winnowed_terms_of_short_and_shifted_texts():
-    assert len(windows.winnowed("", 28, 8)) == 0 and len(windows.winnowed("abc", 28, 8)) == 1
+def test_sketches_agree_in_the_share_of_common_windows():
     rng = random.Random(2)
-    run = "".join(rng.choice("abcdefgh") for _ in range(35))
-    a = "".join(rng.choice("xyz") for _ in range(50)) + run + "qq"
-    b = "rr" + run + "".join(rng.choice("uvw") for _ in range(70))
-    assert np.intersect1d(windows.winnowed(a, 28, 8), windows.winnowed(b, 28, 8)).size
+    for n in (9, 60, 900):
+        share = []
+        for _ in range(60):
+            a = [rng.choice("abcdefgh") for _ in range(n)]
+            b = list(a)
+            b[rng.randrange(n)] = "z"
+            a, b = "".join(a), "".join(b)
+            sa, sb = windows.sketches([a, "filler" * 9, b], 384)[[0, 2]]
+            share.append((sa == sb).mean() - windows.similarity(windows.window_codes(a), windows.window_codes(b)))
+        assert abs(np.mean(share)) < 0.02 and np.abs(share).max() < 0.15
+    one, many = windows.sketches(["abcdefgh"], 640), windows.sketches(["zzzzzzz", "abcdefgh", "abcdefgh" * 300], 640)
+    assert (one[0] == many[1]).all()
+
+
+def test_a_long_run_leaves_the_walk_in_blocks(spark):
+    rng = random.Random(3)
+    sizes = [1, 2, 3, 511, 512, 513, 1500, 1, 5]
+    rows = [(b * 7, 10_000 * b + i) for b, n in enumerate(sizes) for i in range(n)]
+    rng.shuffle(rows)
+    scratch = Scratch(spark, "runs")
+    df = spark.createDataFrame(rows, "bucket long, rep long").repartition(3)
+    got = forest.trie_pairs(df, scratch)
+    assert got.count() == sum(n * (n - 1) // 2 for n in sizes) and got.filter("x >= y OR floor(x / 10000) <> floor(y / 10000)").isEmpty()
+    scratch.finish()
+
+
+def test_texts_with_many_partners_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(windows, "HOT_PARTNERS", 7)
+    scratch = Scratch(spark, "hot")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(i, 40) for i in range(1, 30)] + [(50, 51)], "x long, y long")
+    reps = spark.createDataFrame([(i, f"text{i}") for i in range(52)], "rep long, letters string")
+    hot = windows.hot_ends(pairs, "x", scratch)
+    assert [tuple(r) for r in hot.collect()] == [(0, 6)]
+    got = sorted(tuple(r) for r in windows.attached(pairs, "x", reps, hot).select("x", "y", "letters").collect())
+    assert got == sorted((x, y, f"text{x}") for x, y in map(tuple, pairs.collect()))
+    scratch.finish()
 
 
 def test_a_third_of_all_rows_are_copies_and_near_copies(spark):

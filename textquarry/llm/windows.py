@@ -1,4 +1,4 @@
-"""Character windows of folded texts: letters, winnowed terms, exact similarity."""
+"""Character windows of folded texts: letters, sketches of minima, exact similarity."""
 
 from __future__ import annotations
 
@@ -48,23 +48,54 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def winnowed(text: str, k: int, span: int) -> np.ndarray:
-    """Hashes of the windows of k characters that are least among ``span`` neighbours, distinct.
+#: Rounds in which every window falls into one bin; bins still empty after them take their least window directly.
+ROUNDS = 16
+_VALUE = np.uint64((1 << 40) - 1)
+_GOLDEN = 0x9E3779B97F4A7C15
 
-    Two texts with a common run of k + span - 1 characters have a term in common.
-    A text shorter than k is one term; an empty one has none.
+
+def sketches(texts: list[str], bins: int) -> np.ndarray:
+    """MinHash sketches of the windows of texts of letters (len(texts) x bins).
+
+    Fast similarity sketching: in each round every window is hashed to one bin, and a bin keeps
+    the least value of the first round that reached it. Two texts agree in a bin with probability of
+    their similarity, as with one hash function per bin, at a few rounds in place of
+    ``bins`` functions. Every text must have a window.
     """
-    raw = np.frombuffer(text.encode("ascii"), np.uint8).astype(np.uint64)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
-    n = max(1, len(raw) - k + 1)
-    code = np.zeros(n, np.uint64)
-    for i in range(min(k, len(raw))):
-        code = code * np.uint64(0x100000001B3) + raw[i : i + n]
-    code = mix64(code)
-    if n <= span:
-        return code.min(keepdims=True)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(code, span).min(axis=1))
+    raw = np.frombuffer("".join(texts).encode("ascii"), np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    owner = np.repeat(np.arange(len(texts)), sizes)[: len(raw) - WINDOW + 1]
+    inside = np.arange(len(owner)) + WINDOW <= np.cumsum(sizes)[owner]
+    code = np.zeros(len(owner), np.uint64)
+    for i in range(WINDOW):
+        code = (code << np.uint64(8)) | raw[i : i + len(owner)]
+    x, own = mix64(code[inside]), owner[inside]
+    empty = np.uint64(0xFFFFFFFFFFFFFFFF)
+    flat = np.full(len(texts) * bins, empty)
+    table = flat.reshape(len(texts), bins)
+    for turn in range(ROUNDS):
+        h = mix64(x ^ np.uint64(((turn + 1) * _GOLDEN) & 0xFFFFFFFFFFFFFFFF))
+        np.minimum.at(flat, own * bins + ((h >> np.uint64(40)) % np.uint64(bins)).astype(np.int64), h & _VALUE | np.uint64(turn << 40))
+        unfilled = (table == empty).any(axis=1)
+        keep = unfilled[own]
+        x, own = x[keep], own[keep]
+        if not len(x):
+            return table
+    starts = np.searchsorted(own, np.arange(len(texts) + 1))
+    for i in np.flatnonzero(unfilled):
+        mine, gaps = x[starts[i] : starts[i + 1]], np.flatnonzero(table[i] == empty)
+        salt = mix64((gaps + ROUNDS + 1).astype(np.uint64) * np.uint64(_GOLDEN))
+        table[i, gaps] = (mix64(mine[:, None] ^ salt) & _VALUE).min(axis=0) | np.uint64(ROUNDS << 40)
+    return table
+
+
+def labels(sketch: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """A code of each tree and its ``depth`` minima (len(sketch) x trees)."""
+    parts = sketch.reshape(len(sketch), trees, depth)
+    code = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), parts.shape[:2])
+    for k in range(depth):
+        code = mix64(code * np.uint64(_GOLDEN) + parts[:, :, k])
+    return code.view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -80,7 +111,7 @@ def verified(pairs: DataFrame, least: float, a: str = "letters_a", b: str = "let
     keep = [c for c in pairs.columns if c not in (a, b)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, codes = None, None
+        last, codes = None, None  # the pairs of a text often follow one another
         for batch in batches:
             left, right = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
             found = np.zeros(len(left))
@@ -113,3 +144,38 @@ def text_classes(rows: DataFrame, key: str, text: str, scratch) -> tuple[DataFra
     members = scratch.save(slim.drop("letters").join(heads, "digest").drop("digest"), "members")
     reps = slim.select(F.col(key).alias("rep"), "letters").join(heads.select("rep"), "rep")
     return members, scratch.save(reps, "reps")
+
+
+#: A text with more partners than this is copied to several tasks, each with a part of the partners.
+HOT_PARTNERS = 5_000
+
+
+def hot_ends(pairs: DataFrame, end: str, scratch) -> DataFrame | None:
+    """``end`` and ``_copies`` of texts with more than ``HOT_PARTNERS`` partners; None where there are none."""
+    many = pairs.groupBy(end).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_PARTNERS)
+    many = scratch.save(many.select(end, F.ceil(F.col("n") / HOT_PARTNERS).cast("int").alias("_copies")), "hot")
+    return None if many.isEmpty() else many
+
+
+def attached(pairs: DataFrame, end: str, reps: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``pairs`` with the columns of ``reps`` (whose first column is the text's key) for one end.
+
+    Pairs of a hot text are salted by their other end and meet copies of it, so no task gets them all.
+    """
+    key = reps.columns[0]
+    if hot is None:
+        return pairs.join(reps.withColumnRenamed(key, end), end)
+    other = next(c for c in ("x", "y") if c != end)
+    salted = pairs.join(hot, end, "left").withColumn("_salt", F.coalesce(F.pmod(F.hash(other), "_copies"), F.lit(0))).drop("_copies")
+    copies = reps.withColumnRenamed(key, end).join(hot, end, "left")
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    return salted.join(copies, [end, "_salt"]).drop("_salt")
+
+
+def near(pairs: DataFrame, reps: DataFrame, least: float, scratch, ends: dict[str, DataFrame | None] | None = None) -> DataFrame:
+    """``x``, ``y``, ``similarity`` of the pairs of texts (``rep``, ``letters``) that are near, exactly."""
+    ends = ends or {end: hot_ends(pairs, end, scratch) for end in ("x", "y")}
+    wide = pairs.select("x", "y")
+    for end, name in (("y", "letters_b"), ("x", "letters_a")):
+        wide = attached(wide, end, reps.select("rep", F.col("letters").alias(name)), ends[end])
+    return verified(wide.select("x", "y", "letters_a", "letters_b"), least)
