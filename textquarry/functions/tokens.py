@@ -16,14 +16,13 @@ SPACE = r"[ \t\n\r\f\x0B]+"
 
 def words(text: Column) -> Column:
     """Lower-case words of a-z that stand between non-word characters (F1); [] for null."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.filter(found, lambda w: w.rlike("^[a-z]+$"))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])"), F.lit(0))
 
 
 def naive_sentences(text: Column) -> Column:
     """Parts between runs of . ! ? that hold something but white space, trimmed (F2); [] for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), "[.!?]+")
-    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")), lambda s: s != "")
+    edge = r"[^.!? \t\n\r\f\x0B]"
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{edge}(?:[^.!?]*{edge})?"), F.lit(0))
 
 
 def white_words(text: Column) -> Column:
@@ -88,13 +87,26 @@ def title_in_prompt(prompt: Column) -> Column:
 
 
 def label_polarity(name: Column) -> Column:
-    """1 for a label name that means machine, 0 for one that means human, else null."""
+    """1 for a label name that means machine, 0 for one that means human, else null.
+
+    Machine names stand alone, human ones anywhere in the label; a label with both is neither.
+    """
     n = F.lower(name)
-    machine = n.rlike(r"(^|[^a-z])(ai|machine|generated|fake|gpt|llm|synthetic)([^a-z]|$)")
-    human = n.rlike(r"(^|[^a-z])(human|real|organic|person)([^a-z]|$)")
+    machine, human = n.rlike(tables.MACHINE_LABEL), n.rlike(tables.HUMAN_LABEL)
     return F.when(machine & ~human, 1).when(human & ~machine, 0)
 
 
+def machine_index(labels: Column) -> Column:
+    """Place of the one label of an array that means machine; 1 where none or several do."""
+    hits = F.filter(F.transform(labels, lambda name, i: F.when(label_polarity(name) == 1, i)), lambda i: i.isNotNull())
+    return F.when(F.size(hits) == 1, F.get(hits, F.lit(0))).otherwise(F.lit(1))
+
+
+def first_link(text: Column) -> Column:
+    """The first web or mail address of a text; '' where there is none."""
+    return F.regexp_extract(text, r"(www\.[^\s]+|[A-Za-z0-9._-]+@[A-Za-z0-9.-]+)", 1)
+
+
 def composite_key(*parts: Column) -> Column:
     """Parts joined by a bar (F13); null parts are empty, so that places stay apart."""
     return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

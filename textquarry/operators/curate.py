@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from textquarry.functions.tokens import white_words, word_count
 
 #: Below this, a length in words or characters fails the generation gate.
 MIN_WORDS, MIN_CHARS = 100, 500
+#: Parts in which a group is ranked before it is ranked as a whole.
+SALTS = 64
 
 
 def mostly_english(text: Column) -> Column:
@@ -67,13 +70,36 @@ def prefix(text: Column, n: int = 200) -> Column:
 def quota(rows: DataFrame, group: str, order: Sequence[Column], total: int, shares: dict[str, float]) -> DataFrame:
     """At most floor(total x share) rows of each listed group, in order.
 
-    The greatest quota is a constant limit on the rank, so tasks keep no more
-    rows of a group than that before the shuffle.
+    A group is ranked in ``SALTS`` parts first, each cut to the greatest quota, so that what meets in one task is
+    bounded by the quota and not by the number of tasks; every cut happens before its shuffle, too (window group limit).
     """
     cap = F.coalesce(*[F.when(F.col(group) == g, F.floor(F.lit(total * s))) for g, s in shares.items()], F.lit(0))
     w = Window.partitionBy(group).orderBy(*order)
     most = int(total * max(shares.values(), default=0.0))
-    return rows.filter(F.col(group).isin(*shares)).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most).filter(F.col("_rank") <= cap).drop("_rank")
+    parted = rows.filter(F.col(group).isin(*shares)).withColumn("_part", F.pmod(F.hash(*order), F.lit(SALTS)))
+    part = Window.partitionBy(group, "_part").orderBy(*order)
+    parted = parted.withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= most)
+    return parted.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most).filter(F.col("_rank") <= cap).drop("_rank", "_part")
+
+
+def all_keys(parts: Sequence[Column], tables: Sequence[DataFrame]) -> DataFrame:
+    """``key``: the distinct keys of several tables (U2), as digests; null keys are left out."""
+    found = [t.select(F.md5(p).alias("key")).filter("key IS NOT NULL") for p, t in zip(parts, tables, strict=True)]
+    return reduce(lambda a, b: a.unionByName(b), found).distinct()
+
+
+def name_matches(rows: DataFrame, name: str, patterns: Sequence[str]) -> DataFrame:
+    """``rows`` with each ``pattern`` that the name contains, any case (J7): the short list travels as a literal, no join."""
+    listed = F.array(*[F.lit(p) for p in patterns])
+    return rows.withColumn("pattern", F.explode(F.filter(listed, lambda p: F.contains(F.lower(name), F.lower(p)))))
+
+
+def looked_up(key: Column, values: dict[str, object], default: object = None) -> Column:
+    """The value of a small fixed map for a key, else the default (J6); a null key has the default."""
+    if not values:
+        return F.lit(default)
+    found = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.coalesce(F.try_element_at(found, key), F.lit(default))
 
 
 def without_leaks(rows: DataFrame, others: DataFrame, key: Column, other_key: Column) -> DataFrame:

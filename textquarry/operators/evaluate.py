@@ -8,14 +8,14 @@ added afterwards; rows are only ever aggregated.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textquarry.operators.stats import quantiles
+from textquarry.operators.stats import edges, place, quantiles
 
 
 def finite(scored: DataFrame) -> DataFrame:
@@ -37,13 +37,11 @@ def _cumulative(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Adds ``p_above``, ``n_above`` (rows with a score greater or equal) and totals ``p_all``, ``n_all`` per group.
 
     The running sum is taken within ranges of the score and shifted by the sums
-    of the ranges above, so that one group is many tasks. Ranges are the bits of
-    the score's order-preserving integer, at most ``RANGES`` per group.
+    of the ranges above, so that one group is many tasks. The ranges hold about equal numbers
+    of distinct scores, whatever outliers a group has.
     """
-    bounds = counts.groupBy(*by).agg(F.min("s").alias("_lo"), F.max("s").alias("_hi"), F.sum("p").alias("p_all"), F.sum("n").alias("n_all"))
-    wide = _join(counts, bounds, by)
-    place = F.coalesce(F.try_divide(F.col("s") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    wide = wide.withColumn("_r", F.least(F.floor(place * RANGES), F.lit(RANGES - 1)).cast("int"))
+    bounds = counts.groupBy(*by).agg(edges("s").alias("_cuts"), F.sum("p").alias("p_all"), F.sum("n").alias("n_all"))
+    wide = _join(counts, bounds, by).withColumn("_r", place(F.col("_cuts"), F.col("s"))).drop("_cuts")
     totals = wide.groupBy(*by, "_r").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     above = Window.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0) if by else Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
     totals = totals.select(*by, "_r", (F.sum("_p").over(above) - F.col("_p")).alias("_pa"), (F.sum("_n").over(above) - F.col("_n")).alias("_na"))
@@ -53,10 +51,6 @@ def _cumulative(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     return run.withColumn("p_above", F.col("_pi") + F.col("_pa")).withColumn("n_above", F.col("_ni") + F.col("_na")).select(*by, "s", "p", "n", "p_above", "n_above", "p_all", "n_all")
 
 
-#: Score ranges of a group's running sums.
-RANGES = 256
-
-
 def _join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on columns that may be null; with the one row of ``right`` where there are none."""
     if not by:
@@ -124,8 +118,7 @@ def _binned(counts: DataFrame, by: Sequence[str], grid: DataFrame, strict: bool)
     it; after that a group has no more rows than thresholds, over which counts run.
     """
     lists = grid.groupBy(*by).agg(F.array_sort(F.collect_set("t")).alias("ts"))
-    below = (lambda t: t < F.col("s")) if strict else (lambda t: t <= F.col("s"))
-    placed = _join(counts, lists, by).select(*by, "p", "n", F.size(F.filter("ts", below)).alias("bin"))
+    placed = _join(counts, lists, by).select(*by, "p", "n", place(F.col("ts"), F.col("s"), not strict).alias("bin"))
     bins = placed.groupBy(*by, "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     steps = lists.select(*by, F.posexplode("ts").alias("i", "t")).select(*by, (F.col("i") + 1).alias("bin"), "t")
     # thresholds without a score of their own still need a row; bin 0 is below all of them
@@ -174,13 +167,65 @@ def threshold_at_fpr(scored: DataFrame, fpr: float, by: Sequence[str] = ()) -> D
     return _join(best, top, by).select(*by, F.when(F.col("t") == float("inf"), F.col("top")).otherwise(F.col("t")).alias("tau"))
 
 
-def metric_block(scored: DataFrame, threshold: float, by: Sequence[str] = (), least: int = 1, fpr: float = 0.01) -> DataFrame:
-    """Sizes, recalls, BA, AUROC, empirical TPR per group (A17, A19); metrics are null under ``least`` rows."""
+def metric_block(scored: DataFrame, threshold: float, by: Sequence[str] = (), least: int = 1, fpr: float = 0.01, native: float | None = None, interval: bool = False) -> DataFrame:
+    """The metrics of each group at a fixed threshold (A16-A19); they are null under ``least`` rows.
+
+    Sizes, recalls, BA, AUROC, empirical TPR at ``fpr``, interpolated TPR at 1 % and 5 %, oracle BA over the
+    quantile grid and its gap. ``native`` adds the BA at the detector's own threshold, ``interval`` the bootstrap
+    interval of the BA. Where a class is missing, all but sizes, recalls and BA are null.
+    """
     rows = finite(scored)
     base = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("n_machine"), F.count_if(F.col("y") == 0).alias("n_human"), *balanced_accuracy(F.lit(threshold)))
     out = _join(_join(base, auroc(scored, by), by), tpr_empirical(scored, fpr, by).drop("threshold"), by)
+    out = _join(out, oracle_accuracy(scored, by).drop("tau"), by, "left")
+    for at, name in ((0.01, "tpr_1"), (0.05, "tpr_5")):
+        out = _join(out, tpr_interpolated(scored, at, by).withColumnRenamed("tpr", name), by, "left")
+    out = out.withColumn("oracle_gap", F.col("oracle_ba") - F.col("ba"))
+    names = ["tpr_1", "tpr_5", "oracle_ba", "oracle_gap"]
+    if native is not None:
+        own = rows.groupBy(*by).agg(*balanced_accuracy(F.lit(native))).select(*by, F.col("ba").alias("ba_native"))
+        out, names = _join(out, own, by), [*names, "ba_native"]
+    if interval:
+        out, names = _join(out, bootstrap_interval(scored, threshold, by), by), [*names, "low", "high"]
     guarded = [F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("recall_machine", "recall_human", "ba", "auroc", "tpr")]
-    return out.select(*by, "n", "n_machine", "n_human", "single_class", *guarded)
+    paired = [F.when((F.col("n") >= least) & ~F.col("single_class"), F.col(c)).alias(c) for c in names]
+    return out.select(*by, "n", "n_machine", "n_human", "single_class", *guarded, *paired)
+
+
+def oracle_accuracy(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``tau`` and ``oracle_ba``: the best BA over the group's own quantile grid."""
+    return best_threshold(scored, quantile_grid(scored, by=by), by).withColumnRenamed("ba", "oracle_ba")
+
+
+def paired_scores(first: DataFrame, second: DataFrame, key: str, score: str = "score") -> DataFrame:
+    """``key``, ``a``, ``b``: the scores of two runs joined by id (J4); ids of one run only are left out."""
+    return first.select(key, F.col(score).alias("a")).join(second.select(key, F.col(score).alias("b")), key)
+
+
+def score_agreement(first: DataFrame, second: DataFrame, key: str, score: str = "score") -> DataFrame:
+    """How two runs agree (J4, A22): joined rows, rank correlation, mean and greatest difference, rows on the other side of 0."""
+    both = paired_scores(first, second, key, score)
+    gap = F.abs(F.col("a") - F.col("b"))
+    sums = both.agg(F.count("*").alias("n"), F.avg(gap).alias("mean_gap"), F.max(gap).alias("most_gap"), F.count_if((F.col("a") > 0) != (F.col("b") > 0)).alias("n_turned"))
+    return sums.join(F.broadcast(spearman(both, "a", "b")))  # two rows of one
+
+
+def every_cell(scored: DataFrame, detectors: Sequence[str], sets: Sequence[str], metric: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """A row of metrics for each detector and set, null where it has no rows (J10): a frame of the two short lists."""
+    spark = scored.sparkSession
+    frame = spark.createDataFrame([(d, s) for d in detectors for s in sets], "detector string, set string")
+    return F.broadcast(frame).join(metric(scored, ["detector", "set"]), ["detector", "set"], "left")
+
+
+def best_epoch(history: Sequence[float], patience: int = 3) -> tuple[int, int]:
+    """(best, last): the epoch of greatest value, the first on ties, when training stops after ``patience`` epochs without a better one."""
+    best = 0
+    for epoch, value in enumerate(history):
+        if value > history[best]:
+            best = epoch
+        elif epoch - best >= patience:
+            return best, epoch
+    return best, max(0, len(history) - 1)
 
 
 def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -225,8 +270,9 @@ def bootstrap_interval(scored: DataFrame, threshold: float, by: Sequence[str] =
 
     A stratified resample's recall is a binomial share, so only the four counts
     of a group leave the cluster's rows; the draws run per group in one batch.
+    A score at the threshold counts as machine here, unlike in ``balanced_accuracy``.
     """
-    hit = F.col("s") > threshold
+    hit = F.col("s") >= threshold
     counts = finite(scored).groupBy(*by).agg(
         F.count_if((F.col("y") == 1) & hit).alias("tp"), F.count_if(F.col("y") == 1).alias("p"), F.count_if((F.col("y") == 0) & ~hit).alias("tn"), F.count_if(F.col("y") == 0).alias("n"),
     )

@@ -11,14 +11,18 @@ Guards: texts under 20 characters or 10 words have zeros everywhere; features
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import types as T
 
 from textquarry import tables
 from textquarry.functions.tokens import naive_sentences, ngrams, syllables, word_count, words
@@ -42,8 +46,10 @@ def placed(rows: DataFrame) -> DataFrame:
 def base(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id``, ``t`` (trimmed), ``w`` (words), ``s`` (sentences) of documents that pass the guards, placed by key."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), EDGES, "")
-    rows = placed(docs.select(KEY, t.alias("t")).filter(F.length("t") >= LEAST_CHARS))
-    return rows.select(KEY, "t", words(F.col("t")).alias("w"), naive_sentences(F.col("t")).alias("s")).filter(F.size("w") >= LEAST_WORDS)
+    # the partition id (0 or more) keeps each filter above its column, which would otherwise be computed again below it and for every use
+    above = F.least(F.spark_partition_id(), F.lit(0))
+    rows = placed(docs.select(KEY, text)).select(KEY, t.alias("t")).filter(F.length("t") >= F.lit(LEAST_CHARS) + above)
+    return rows.select(KEY, "t", words(F.col("t")).alias("w"), naive_sentences(F.col("t")).alias("s")).filter(F.size("w") >= F.lit(LEAST_WORDS) + above)
 
 
 def _zero(c: Column) -> Column:
@@ -56,25 +62,41 @@ def _entropy_bits(n: str = "c") -> Column:
     return F.log2(total) - F.sum(F.col(n) * F.log2(n)) / total
 
 
+def _bits(items) -> tuple[float, int]:
+    """Entropy in bits and number of distinct items."""
+    counts = np.fromiter(Counter(items).values(), float)
+    total = counts.sum()
+    return (math.log2(total) - float((counts * np.log2(counts)).sum()) / total if total else 0.0), len(counts)
+
+
+ENTROPIES = ("chars", "words", "bi", "tri", "punct", "sent", "len")
+
+
 def entropy_block(rows: DataFrame) -> DataFrame:
-    """8-17: entropies of characters, words, n-grams, punctuation, sentence and word lengths."""
-
-    def tagged(kind: str, items: Column) -> Column:
-        return F.transform(items.cast("array<string>"), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("item")))
-
-    chars = F.split(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N} \t\n\r\f\x0B]", ""), "")
-    marks = F.regexp_extract_all(F.col("t"), F.lit(PUNCTUATION), F.lit(0))
-    lengths = F.transform("s", lambda x: F.least(F.floor(word_count(x) / 5), F.lit(10)))
-    sizes = F.transform("w", lambda x: F.least(F.length(x), F.lit(15)))
-    kinds = {"chars": chars, "words": F.col("w"), "bi": ngrams(F.col("w"), 2), "tri": ngrams(F.col("w"), 3), "punct": marks, "sent": lengths, "len": sizes}
-    counts = rows.select(KEY, F.explode(F.concat(*[tagged(k, v) for k, v in kinds.items()])).alias("x")).groupBy(KEY, "x.kind", "x.item").agg(F.count("*").alias("c"))
-    per = counts.groupBy(KEY, "kind").agg(_entropy_bits().alias("h"), F.count("*").alias("v"))
-    wide = per.groupBy(KEY).agg(*[F.max(F.when(F.col("kind") == k, F.col("h"))).alias(k) for k in kinds], F.max(F.when(F.col("kind") == "words", F.col("v"))).alias("v"))
+    """8-17: entropies of characters, words, n-grams, punctuation, sentence and word lengths.
+
+    Counts of one document stay in its row: an Arrow function over the tokens, without exploded characters or a shuffle.
+    """
+    chars = F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N} \t\n\r\f\x0B]", "")
+    marks = F.regexp_replace("t", PUNCTUATION.replace("[", "[^", 1), "")
+    lengths = F.transform("s", lambda x: F.least(F.floor(word_count(x) / 5), F.lit(10)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out: list[list[float]] = []
+            for c, w, p, s in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                found = [_bits(x) for x in (c, w, zip(w, w[1:]), zip(w, w[1:], w[2:]), p, s, (min(len(x), 15) for x in w))]
+                out.append([*(max(h, 0.0) for h, _ in found), float(found[1][1])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in zip(*out, strict=True))], names=[KEY, *ENTROPIES, "v"])
+
+    schema = T.StructType([rows.schema[KEY], *(T.StructField(k, T.DoubleType()) for k in (*ENTROPIES, "v"))])
+    wide = rows.select(KEY, chars.alias("c"), "w", marks.alias("p"), lengths.alias("l")).mapInArrow(run, schema)
     return wide.select(
-        KEY, _zero(F.col("chars")).alias("f08"), _zero(F.col("words")).alias("f09"), _zero(F.col("bi")).alias("f10"), _zero(F.col("tri")).alias("f11"),
+        KEY, F.col("chars").alias("f08"), F.col("words").alias("f09"), F.col("bi").alias("f10"), F.col("tri").alias("f11"),
         F.when(F.col("words") > 0, F.greatest(F.lit(0.0), F.col("bi") - F.col("words"))).otherwise(0.0).alias("f12"),
-        _zero(F.col("words") / F.log2(F.col("v") + 1)).alias("f13"), F.lit(0.0).alias("f14"), _zero(F.col("punct")).alias("f15"),
-        _zero(F.col("sent")).alias("f16"), _zero(F.col("len")).alias("f17"),
+        _zero(F.col("words") / F.log2(F.col("v") + 1)).alias("f13"), F.lit(0.0).alias("f14"), F.col("punct").alias("f15"), F.col("sent").alias("f16"), F.col("len").alias("f17"),
     )
 
 
@@ -139,7 +161,7 @@ def repetition_block(rows: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(DoubleType())
+@F.pandas_udf(T.DoubleType())
 def _compression(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]

@@ -7,6 +7,7 @@ ordered by length within a task so that batches hold texts of like length.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -58,6 +59,10 @@ def linear(weights: dict[str, tuple[Callable[[Column], Column], float]], bias: f
     return Scorer(margin)
 
 
+#: Models of this worker process by scorer, so that a worker loads each once whatever its tasks.
+LOADED: dict[str, Any] = {}
+
+
 def arrow_scorer(load: Callable[[], Any], score: Callable[[Any, list[str]], list[float]], **kw: Any) -> Scorer:
     """A scorer from Python: ``load`` makes the model once per worker, ``score`` maps a batch of texts to margins.
 
@@ -65,9 +70,13 @@ def arrow_scorer(load: Callable[[], Any], score: Callable[[Any, list[str]], list
     null if it stays so.
     """
 
+    name = uuid.uuid4().hex
+
     @F.pandas_udf(DoubleType())
     def margin(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        if name not in LOADED:
+            LOADED[name] = load()
+        model = LOADED[name]
         for texts in batches:
             known = texts.fillna("").tolist()
             out = pd.Series(score(model, known), dtype="float64")
@@ -94,6 +103,11 @@ def by_length(docs: DataFrame, text: str) -> DataFrame:
     return docs.sortWithinPartitions(F.length(text).desc())
 
 
+def scored_in_order(docs: DataFrame, key: str, text: str, score: Callable[[Column], Column]) -> DataFrame:
+    """``key`` and ``score``, computed in batches of like length and returned in the order of the key."""
+    return by_length(docs.select(key, text), text).select(key, score(F.col(text)).alias("score")).orderBy(key)
+
+
 def top_share_mean(values: Column, share: float) -> Column:
     """Mean of the greatest share of an array."""
     k = F.greatest(F.lit(1), F.ceil(F.size(values) * F.lit(share))).cast("int")

@@ -30,15 +30,25 @@ def cell_rank(rows: DataFrame, key: str, cells: Sequence[str] = ()) -> DataFrame
     cell that holds a third of all rows is many tasks and no task sorts a cell.
     """
     ranged = rows.withColumn("_h", draw(F.col(key))).withColumn("_range", F.substring("_h", 1, DIGITS))
+    shifts, _ = _shifts(ranged, cells)
+    inside = ranged.withColumn("_inside", F.row_number().over(Window.partitionBy(*cells, "_range").orderBy("_h", key)))
+    return _in_range(inside, shifts, cells).withColumn("_rank", F.col("_inside") + F.col("_before")).drop("_h", "_range", "_inside", "_before")
+
+
+def _shifts(ranged: DataFrame, cells: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The cell and range of each count, ``_before`` (rows of the cell in earlier ranges) and ``_n`` (rows of the cell)."""
     counts = ranged.groupBy(*cells, "_range").agg(F.count("*").alias("_c"))
     cell = Window.partitionBy(*cells) if cells else Window.partitionBy(F.lit(1))
     before = F.sum("_c").over(cell.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
-    shifts = counts.select(*[F.col(c).alias(f"_k_{c}") for c in cells], F.col("_range").alias("_k"), before.alias("_before"), F.sum("_c").over(cell).alias("_n"))
-    inside = ranged.withColumn("_inside", F.row_number().over(Window.partitionBy(*cells, "_range").orderBy("_h", key)))
+    names = [f"_k_{c}" for c in cells]
+    return counts.select(*[F.col(c).alias(k) for c, k in zip(cells, names, strict=True)], F.col("_range").alias("_k"), before.alias("_before"), F.sum("_c").over(cell).alias("_n")), names
+
+
+def _in_range(ranged: DataFrame, shifts: DataFrame, cells: Sequence[str]) -> DataFrame:
     on = F.col("_range") == F.col("_k")
     for c in cells:
         on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return inside.join(shifts, on).withColumn("_rank", F.col("_inside") + F.col("_before")).drop("_h", "_range", "_k", "_inside", "_before", *[f"_k_{c}" for c in cells])
+    return ranged.join(shifts, on).drop("_k", *[f"_k_{c}" for c in cells])
 
 
 def grouped_split(rows: DataFrame, group: str, share: float = 0.10) -> DataFrame:
@@ -56,9 +66,15 @@ def stratified_split(rows: DataFrame, key: str, cells: Sequence[str], share: flo
 
 
 def per_cell(rows: DataFrame, key: str, cells: Sequence[str], cap: int) -> DataFrame:
-    """At most ``cap`` rows of each cell in hash order (X4): tasks keep no more than that before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(*cells).orderBy(draw(F.col(key)), key))
-    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= cap).drop("_rank")
+    """At most ``cap`` rows of each cell in hash order (X4); null is a cell.
+
+    Counts of hash ranges tell which ranges a cell's first rows lie in; only rows of these are ranked, range by range.
+    """
+    ranged = rows.withColumn("_h", draw(F.col(key))).withColumn("_range", F.substring("_h", 1, DIGITS))
+    before, _ = _shifts(ranged, cells)
+    kept = _in_range(ranged, before.filter(F.col("_before") < cap), cells)
+    rank = F.row_number().over(Window.partitionBy(*cells, "_range").orderBy("_h", key))
+    return kept.withColumn("_rank", rank).filter(F.col("_rank") <= cap).filter(F.col("_rank") + F.col("_before") <= cap).drop("_rank", "_before", "_h", "_range", "_n")
 
 
 def equal_allocation(rows: DataFrame, key: str, cells: Sequence[str], total: int) -> DataFrame:
@@ -85,3 +101,38 @@ def quota_plan(rows: DataFrame, label: Column, target: int) -> DataFrame:
         F.greatest(F.lit(0), F.lit(target) - F.col("fixed_machine")).alias("need_machine"),
         F.greatest(F.lit(0), F.col("fixed_human") - F.col("fixed_machine")).alias("balance"),
     )
+
+
+def split_quotas(counts: DataFrame, targets: dict[int, int], filler: str, machine: str, source: str = "source", split: str = "split") -> DataFrame:
+    """How many rows of the two pools a split takes (A5): ``split``, ``source``, ``label``, ``quota``.
+
+    ``counts`` has ``source``, ``split``, ``label``, ``n``. In train the filler (humans) and the machine pool take
+    what the other sources leave of the targets, at most what they have; in val the machine pool takes what the
+    machines of the others leave of the humans. The two pools are the only ones that are cut.
+    """
+
+    def total(label: int, but: str | None = None) -> Column:
+        mine = (F.col("label") == label) & (F.col(source) != F.lit(but) if but else F.lit(True))
+        return F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0))
+
+    def pool(name: str, label: int) -> Column:
+        return F.coalesce(F.sum(F.when((F.col(source) == name) & (F.col("label") == label), F.col("n"))), F.lit(0))
+
+    sums = counts.groupBy(split).agg(total(0, filler).alias("h"), total(0).alias("h_all"), total(1, machine).alias("m"), pool(filler, 0).alias("ph"), pool(machine, 1).alias("pm"))
+    clamp = lambda have, left: F.greatest(F.lit(0), F.least(have, left)).cast("bigint")
+    val = F.col(split) == "val"
+    human = F.when(val, F.col("ph")).otherwise(clamp(F.col("ph"), F.lit(targets[0]) - F.col("h")))
+    machines = F.when(val, clamp(F.col("pm"), F.col("h_all") - F.col("m"))).otherwise(clamp(F.col("pm"), F.lit(targets[1]) - F.col("m")))
+    rows = F.array(F.struct(F.lit(filler).alias(source), F.lit(0).alias("label"), human.alias("quota")), F.struct(F.lit(machine).alias(source), F.lit(1).alias("label"), machines.alias("quota")))
+    return sums.select(split, F.inline(rows))
+
+
+def cut_to_quota(rows: DataFrame, quotas: DataFrame, key: str, source: str = "source", split: str = "split", label: str = "label") -> DataFrame:
+    """Rows of the pools up to their quota in hash order, all rows of other sources (X9). Null fields belong to no pool."""
+    cells = [source, split, label]
+    named = quotas.select(*[F.col(c).alias(f"_q_{c}") for c in cells], "quota")
+    on = F.lit(True)
+    for c in cells:
+        on = on & (F.col(c) == F.col(f"_q_{c}"))
+    ranked = cell_rank(rows, key, cells).join(F.broadcast(named), on, "left")  # two rows a split
+    return ranked.filter(F.col("quota").isNull() | (F.col("_rank") <= F.col("quota"))).drop("_rank", "_n", "quota", *[f"_q_{c}" for c in cells])

@@ -18,38 +18,52 @@ def long_features(rows: DataFrame, key: str, features: str = "features") -> Data
     return rows.select(key, F.posexplode(features).alias("idx", "v")).select(key, "idx", clean_number(F.col("v").cast("double")).alias("value"))
 
 
-#: Value ranges in which the ranks of a group are counted.
-RANGES = 256
+#: Value ranges in which the ranks of a group are counted, and the accuracy of their edges.
+RANGES, ACCURACY = 256, 2_000
+
+
+def edges(value: str) -> Column:
+    """Aggregate: edges that cut the values of a group into ranges of about equal numbers of rows, whatever their spread."""
+    return F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], ACCURACY)
+
+
+def place(cuts: Column, value: Column, inclusive: bool = False) -> Column:
+    """How many entries of a sorted array lie below a value (``inclusive``: at it, too), by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in range(15, -1, -1)])
+
+    def step(at: Column, size: Column) -> Column:
+        cut = F.get(cuts, at + size - 1)
+        return at + F.when((at + size <= F.size(cuts)) & (cut <= value if inclusive else cut < value), size).otherwise(F.lit(0))
+
+    return F.aggregate(steps, F.lit(0), step)
 
 
 def quantiles(rows: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear quantiles: ``by``, ``p``, ``q``; nulls in ``value`` are left out, nulls in ``by`` are a group.
 
-    Values are counted, ranks run within ranges of the value and are shifted by
+    Values are counted, ranks run within ranges of about equal numbers of distinct values and are shifted by
     the ranges below, and each wanted rank is looked up in its range. No task
-    holds a group's values, as the built-in exact percentile would.
+    holds a group's values, as the built-in exact percentile would, and outliers do not stretch a range.
     """
     keys = [f"_b{i}" for i in range(len(by))]
     named = rows.filter(F.col(value).isNotNull()).select(*[F.struct(F.col(c)).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("s"))
-    if not by:
-        keys, named = ["_b0"], named.withColumn("_b0", F.lit(0))
     counts = named.groupBy(*keys, "s").agg(F.count("*").alias("c"))
-    bounds = counts.groupBy(*keys).agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.sum("c").alias("n"))
-    place = F.coalesce(F.try_divide(F.col("s") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    ranged = counts.join(bounds, keys).withColumn("r", F.least(F.floor(place * RANGES), F.lit(RANGES - 1)).cast("int"))
+    bounds = counts.groupBy(*keys).agg(edges("s").alias("cuts"), F.sum("c").alias("n")).filter("n IS NOT NULL")
+    meet = lambda left, right, on: left.join(right, on) if on else left.join(F.broadcast(right))  # noqa: E731  without groups one row
+    ranged = meet(counts, bounds, keys).withColumn("r", place(F.col("cuts"), F.col("s"))).drop("cuts")
     below = Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     totals = ranged.groupBy(*keys, "r").agg(F.sum("c").alias("t")).withColumn("base", F.sum("t").over(below) - F.col("t"))
     at = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
     wanted = bounds.select(*keys, "n", at).withColumn("h", F.col("p") * (F.col("n") - 1)).withColumn("k0", F.floor("h"))
     wanted = wanted.select(*keys, "p", "h", "k0", F.explode(F.array(F.col("k0"), F.least(F.col("k0") + 1, F.col("n") - 1))).alias("k")).distinct()
     # both sides hold a fixed number of rows per group
-    placed = wanted.join(totals, keys).filter((F.col("k") >= F.col("base")) & (F.col("k") < F.col("base") + F.col("t")))
+    placed = meet(wanted, totals, keys).filter((F.col("k") >= F.col("base")) & (F.col("k") < F.col("base") + F.col("t")))
     run = F.sum("c").over(Window.partitionBy(*keys, "r").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
     ranks = ranged.withColumn("upto", run).select(*keys, "r", "s", "c", "upto")
     found = placed.join(ranks, [*keys, "r"]).filter((F.col("k") < F.col("base") + F.col("upto")) & (F.col("k") >= F.col("base") + F.col("upto") - F.col("c")))
     ends = found.groupBy(*keys, "p").agg(F.min(F.struct("k", "s")).alias("a"), F.max(F.struct("k", "s")).alias("b"), F.max(F.col("h") - F.col("k0")).alias("f"))
     q = F.col("a.s") + (F.col("b.s") - F.col("a.s")) * F.col("f")
-    return ends.select(*[F.col(k)[c].alias(c) for c, k in zip(by, keys, strict=False)], "p", q.alias("q"))
+    return ends.select(*[F.col(k)[c].alias(c) for c, k in zip(by, keys, strict=True)], "p", q.alias("q"))
 
 
 def _at(p: float) -> Column:
@@ -73,7 +87,7 @@ def mutual_information(values: DataFrame, label: str, by: Sequence[str] = ("idx"
     A binned estimate in place of a nearest-neighbour one: it needs counts only.
     """
     cuts = quantiles(values, "value", [i / bins for i in range(1, bins)], by).groupBy(*by).agg(F.array_sort(F.collect_list("q")).alias("cuts"))
-    binned = values.join(cuts, list(by)).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("value"))))
+    binned = values.join(cuts, list(by)).withColumn("bin", place(F.col("cuts"), F.col("value")))
     joint = binned.groupBy(*by, "bin", label).agg(F.count("*").alias("n"))
     n_bin, n_label, n_all = (F.sum("n").over(Window.partitionBy(*by, *more)) for more in (("bin",), (label,), ()))
     part = joint.select(*by, (F.col("n") / n_all * F.log(F.col("n") * n_all / (n_bin * n_label))).alias("term"))
@@ -109,11 +123,76 @@ def ordered_fingerprint(rows: DataFrame, key: str, text: str, block: int = 1000,
 
 def composition(rows: DataFrame, group: str, label: str) -> DataFrame:
     """Rows, classes and shares per group with a TOTAL row (A1-A3)."""
-    rolled = rows.withColumn(group, F.coalesce(group, F.lit("-"))).rollup(group).agg(
-        F.count("*").alias("n"), F.count_if(F.col(label) == 0).alias("human"), F.count_if(F.col(label) == 1).alias("machine"), F.grouping(group).alias("_g")
-    )
-    total = F.max(F.when(F.col("_g") == 1, F.col("n"))).over(Window.partitionBy(F.lit(1)))
-    return rolled.select(F.when(F.col("_g") == 1, "TOTAL").otherwise(F.col(group)).alias(group), "n", "human", "machine", F.round(F.col("n") / total, 6).alias("share"))
+    return tally(rows, [group], label).select(group, "n", "human", "machine", "share")
+
+
+def tally(rows: DataFrame, groups: Sequence[str], label: str) -> DataFrame:
+    """Rows and classes of each combination of groups with a TOTAL row (A1-A3): counts, share of all rows, of each class.
+
+    A null group is ``-``. ``by_size`` orders the report.
+    """
+    named = rows.select(*[F.coalesce(g, F.lit("-")).alias(g) for g in groups], F.col(label).alias("_label"))
+    counted = named.groupBy(*groups).agg(F.count("*").alias("n"), F.count_if(F.col("_label") == 0).alias("human"), F.count_if(F.col("_label") == 1).alias("machine"))
+    total = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "human", "machine")])
+    total = total.select(*[F.lit("TOTAL").alias(g) for g in groups], "n", "human", "machine")
+    whole = Window.partitionBy(F.lit(1))  # a row per combination
+    share = lambda c: F.round(F.try_divide(c, F.max(F.when(F.col("_total"), F.col(c))).over(whole)), 6)
+    both = counted.withColumn("_total", F.lit(False)).unionByName(total.withColumn("_total", F.lit(True)))
+    return both.select(*groups, "n", "human", "machine", share("n").alias("share"), share("human").alias("human_share"), share("machine").alias("machine_share"))
+
+
+def by_size(report: DataFrame, count: str = "n") -> DataFrame:
+    """A report in falling order of a count, then by name."""
+    return report.orderBy(F.desc(count), *[c for c in report.columns if c != count])
+
+
+def moments(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean, population deviation, population skewness and range of a value (M5, M6); skewness is 0 where all values are equal."""
+    same = F.stddev_pop(value) == 0
+    return rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"),
+        F.when(same, 0.0).otherwise(F.skewness(value)).alias("skewness"), F.min(value).alias("low"), F.max(value).alias("high"),
+    )
+
+
+def loss_features(losses: DataFrame, key: str = "doc_id", pos: str = "pos", loss: str = "loss") -> DataFrame:
+    """Features 0-7 of each document from the token losses of any language model (``key``, ``pos`` from 0, ``loss``).
+
+    Perplexity, mean, greatest loss, deviation, skewness, shares of losses below the lower and above the upper quartile,
+    and the mean of the second half less that of the first. A document of one loss has no skewness and no drift.
+    """
+    rows = losses.filter(F.col(key).isNotNull() & F.col(loss).isNotNull()).select(key, F.col(pos).alias("pos"), F.col(loss).cast("double").alias("loss"))
+    quarters = quantiles(rows, "loss", (0.25, 0.75), [key]).groupBy(key).agg(_at(0.25).alias("low_q"), _at(0.75).alias("high_q"))
+    sizes = rows.groupBy(key).agg(F.floor(F.count("*") / 2).alias("middle"))
+    wide = rows.join(quarters, key).join(sizes, key)
+    late = F.col("pos") >= F.col("middle")
+    # --- Fixed values: greatest perplexity and loss shown
+    return wide.groupBy(key).agg(
+        F.least(F.exp(F.avg("loss")), F.lit(10000.0)).alias("f00"), F.avg("loss").alias("f01"), F.least(F.max("loss"), F.lit(50.0)).alias("f02"), F.stddev_pop("loss").alias("f03"),
+        F.when((F.count("*") > 2) & (F.stddev_pop("loss") > 0), F.skewness("loss")).otherwise(0.0).alias("f04"),
+        F.avg((F.col("loss") < F.col("low_q")).cast("double")).alias("f05"), F.avg((F.col("loss") > F.col("high_q")).cast("double")).alias("f06"),
+        F.coalesce(F.avg(F.when(late, F.col("loss"))) - F.avg(F.when(~late, F.col("loss"))), F.lit(0.0)).alias("f07"),
+    )
+
+
+def word_statistics(rows: DataFrame, words: str, stored: str, by: Sequence[str]) -> DataFrame:
+    """Words of texts per group (A26): mean, median, range, and rows whose stored count is missing or stale."""
+    base = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(words).alias("mean_words"), F.min(words).alias("least"), F.max(words).alias("most"), F.count_if(F.coalesce(F.col(words) != F.col(stored), F.lit(True))).alias("stale"))
+    middle = quantiles(rows, words, [0.5], by).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("q").alias("median_words"))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return base.join(middle, on, "left").drop(*[f"_{c}" for c in by])
+
+
+def stamp(at: Column, pattern: str = "yyyyMMdd_HHmmss") -> Column:
+    """A time as a stamp for file names."""
+    return F.date_format(at, pattern)
+
+
+def parsed_stamp(text: Column) -> Column:
+    """The time of an ISO stamp with ``T`` or a blank, with or without a fraction or zone; null for others."""
+    return F.try_to_timestamp(F.regexp_replace(text, r"(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?$", ""), F.lit("yyyy-MM-dd['T'][' ']HH:mm:ss"))
 
 
 def top_features(ranked: DataFrame, k: int = 30) -> DataFrame:

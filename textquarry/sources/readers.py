@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textquarry.operators.curate import looked_up
+
 PAIRS = T.StructType([T.StructField(c, T.StringType()) for c in ("title", "prompt", "machine_text", "human_text", "model", "source", "generator_id")] + [T.StructField("temperature", T.DoubleType()), T.StructField("word_count", T.IntegerType()), T.StructField("generated_at", T.StringType())])
 #: What a missing column of a bundle holds.
 DEFAULTS = {"domains": "-", "generators": "-", "attacks": "none", "sources": "-"}
@@ -32,10 +34,10 @@ def csv(spark: SparkSession, path: str, schema: T.StructType | None = None, null
 
 
 def csv_quota(spark: SparkSession, path: str, want: int, text: str = "text") -> DataFrame:
-    """The first ``want`` rows of a CSV with its text column, or its first one where it has none (S3)."""
+    """The first ``want`` rows of a CSV, in file order, with its text column, or its first one where it has none (S3)."""
     rows = csv(spark, path)
     name = next((c for c in rows.columns if c.lower() == text), rows.columns[0])
-    return rows.select(F.col(name).alias(text)).limit(want)
+    return rows.select(F.col(name).alias(text), F.monotonically_increasing_id().alias("_at")).orderBy("_at").limit(want).drop("_at")
 
 
 def jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -57,16 +59,32 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_file_part(spark: SparkSession, glob: str, schema: T.StructType, name: str = "generator") -> DataFrame:
-    """JSON lines of many files with the part of the file name after the last underscore."""
+    """JSON lines of many files with the part of the file name after the last underscore, or the whole stem."""
     rows = spark.read.schema(schema).json(glob)
-    return rows.withColumn(name, F.regexp_extract(F.col("_metadata.file_name"), r"_([^_]+)\.[^._]+$", 1))
+    return rows.withColumn(name, F.regexp_extract(F.col("_metadata.file_name"), r"([^_]+?)(\.[^._]+)?$", 1))
+
 
+def metadata_links(spark: SparkSession, glob: str, corrections: dict[str, str] | None = None) -> DataFrame:
+    """``name``, ``model_id``, ``submission``, ``link``, ``id_corrected_from`` of metadata JSON files with a model link.
 
-def metadata_links(spark: SparkSession, glob: str) -> DataFrame:
-    """``name``, ``model_id`` and ``link`` of metadata JSON files; links with a space part are no models."""
+    Links to spaces are no models. ``corrections`` maps misspelled ids; the name falls back to the folder's.
+    """
     rows = spark.read.option("multiLine", True).schema("detector_name string, huggingface_link string").json(glob)
-    model = F.regexp_extract("huggingface_link", r"huggingface\.co/(?!spaces/)([^/\s]+/[^/\s?#]+)", 1)
-    return rows.select(F.col("detector_name").alias("name"), model.alias("model_id"), F.col("huggingface_link").alias("link"))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    link = F.trim(F.coalesce("huggingface_link", F.lit("")))
+    rows = rows.select(F.coalesce("detector_name", folder).alias("name"), folder.alias("submission"), link.alias("link"))
+    return corrected_ids(rows.withColumn("raw", model_id(F.col("link"))).filter("raw <> ''"), "raw", corrections or {}).select("name", "model_id", "submission", "link", "id_corrected_from")
+
+
+def model_id(link: Column) -> Column:
+    """Owner and name of a model link; '' where it is none."""
+    return F.regexp_extract(link, r"huggingface\.co/(?!spaces/)([\p{L}\p{N}_.-]+/[\p{L}\p{N}_.-]+)", 1)
+
+
+def corrected_ids(rows: DataFrame, raw: str, corrections: dict[str, str]) -> DataFrame:
+    """``rows`` with ``model_id`` (the corrected id) and ``id_corrected_from`` (the raw one where it differs)."""
+    fixed = looked_up(F.col(raw), corrections, None)
+    return rows.withColumn("model_id", F.coalesce(fixed, raw)).withColumn("id_corrected_from", F.when(F.col("model_id") != F.col(raw), F.col(raw)))
 
 
 def resolve(df: DataFrame, wanted: Sequence[str]) -> DataFrame:

@@ -72,7 +72,8 @@ def cached_scores(docs: DataFrame, root: str, tag: str, score: Callable[[DataFra
     if known is not None:
         return known
     out = score(docs)
-    return docs.sparkSession.read.parquet(at) if finite_only(out, at) else out
+    kept = finite_only(out, at)
+    return out if kept is None else kept
 
 
 def save_model(spark: SparkSession, path: str, intercept: float, weights: dict[str, float]) -> None:

@@ -28,23 +28,60 @@ def jsonl(df: DataFrame, path: str, keep_nulls: bool = False) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", not keep_nulls).json(path)
 
 
-def finite_only(scores: DataFrame, path: str, score: str = "score") -> bool:
-    """Write a score cache only if all scores are finite (K15); whether it was written."""
+def finite_only(scores: DataFrame, path: str, score: str = "score") -> DataFrame | None:
+    """Publish a score cache only if all scores are finite (K15): what was published, else None.
+
+    The scorer runs once: its rows are written beside the path, checked there and moved.
+    """
+    spark = scores.sparkSession
+    staged = f"{path.rstrip('/')}.staged"
+    scores.write.mode("overwrite").parquet(staged)
     bad = F.col(score).isNull() | F.isnan(score) | (F.abs(score) == float("inf"))
-    if not scores.filter(bad).isEmpty():
-        return False
-    scores.write.mode("overwrite").parquet(path)
-    return True
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    files = path_of(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    fine = spark.read.parquet(staged).filter(bad).isEmpty()
+    if fine:
+        files.delete(path_of(path), True)
+        files.rename(path_of(staged), path_of(path))
+        return spark.read.parquet(path)
+    files.delete(path_of(staged), True)
+    return None
 
 
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> None:
-    """Replace rows of a stored table by key and add new ones (K8): written beside, then swapped in."""
-    from textquarry.sources.readers import table_or_none
-
-    old = table_or_none(spark, path)
-    merged = upsert(old, new, keys) if old is not None else new
-    staged = Scratch(spark, "upsert").save(merged, "merged")
-    staged.write.mode("overwrite").parquet(path)
+    """Replace rows of a stored table by key and add new ones (K8).
+
+    The whole new table is written beside the old one before two renames swap them; where a failure fell between
+    the renames, the next call puts the old table back first. ``storage.Versions`` keeps tables without any gap.
+    """
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    live, staged, before = path_of(path), path_of(f"{path.rstrip('/')}.staged"), path_of(f"{path.rstrip('/')}.before")
+    files = live.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(before):
+        if files.exists(live):
+            files.delete(before, True)
+        else:
+            files.rename(before, live)
+    merged = upsert(spark.read.parquet(path), new, keys) if files.exists(live) else new
+    merged.write.mode("overwrite").parquet(staged.toString())
+    if files.exists(live):
+        files.rename(live, before)
+    files.rename(staged, live)
+    files.delete(before, True)
+
+
+def predictions(scores: DataFrame, path: str, key: str = "id", score: str = "score") -> None:
+    """Predictions as one JSON array of ``id`` and ``score`` (K6): a single document, so one task streams its lines."""
+    rows = scores.select(F.to_json(F.struct(F.col(key).cast("string").alias("id"), F.col(score).cast("double").alias("score"))).alias("value"))
+    opened = scores.sparkSession.range(1).select(F.lit("[").alias("value"))
+    closed = scores.sparkSession.range(1).select(F.lit("null]").alias("value"))
+    lines = opened.union(rows.select(F.concat("value", F.lit(",")).alias("value"))).union(closed)
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
+def results_by_run(results: DataFrame, path: str, by: tuple[str, ...] = ("detector", "variant")) -> None:
+    """One folder of JSON lines for each run (K9)."""
+    results.write.mode("overwrite").partitionBy(*by).json(path)
 
 
 def round_trip(spark: SparkSession, bundle: DataFrame, kind: str) -> DataFrame:

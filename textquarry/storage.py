@@ -2,8 +2,9 @@
 
 Iterative operators cut their lineage by writing Parquet below
 ``spark.checkpoint.dir`` (shared by all executors), so that a lost executor costs
-a re-read and never a recomputation of the whole history. Where the session
-names no such folder (tests, a laptop), a private temporary one is made and set.
+a re-read and never a recomputation of the whole history. Where a local session
+names no such folder (tests, a laptop), a private temporary one is made and set; on a
+cluster that is an error. What an operator returns stays until the application ends.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a fresh temporary one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``; a fresh temporary one only where a local session has it unset."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="textquarry-")
         atexit.register(shutil.rmtree, known[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", known)
@@ -43,6 +46,9 @@ class Scratch:
         """Write ``df`` and return it as a scan: exact statistics, no lineage."""
         at = self.path(name)
         df.write.mode("overwrite").parquet(at)
+        if not self.tables:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(where)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._tq_path = at  # type: ignore[attr-defined]
         self.tables.append(at)
@@ -67,6 +73,44 @@ class Scratch:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Versions:
+    """A table kept below a folder, one subfolder per version.
+
+    A version exists once its write has been committed, so a failed write leaves the last one and
+    readers never see a hole. Older versions are removed but for ``keep``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2) -> None:
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+        self._folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = self._folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def numbers(self) -> list[int]:
+        """Committed versions in order."""
+        if not self._files.exists(self._folder):
+            return []
+        names = [f.getPath().getName() for f in self._files.listStatus(self._folder)]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self._files.exists(path(f"{self.path}/{n}/_SUCCESS")))
+
+    def at(self, number: int) -> str:
+        return f"{self.path}/v{number:06d}"
+
+    def read(self) -> DataFrame | None:
+        """The last version; None where there is none."""
+        known = self.numbers()
+        return self.spark.read.parquet(self.at(known[-1])) if known else None
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """Commit ``df``, which may read the last version, as the next one."""
+        known = self.numbers()
+        number = known[-1] + 1 if known else 1
+        df.write.mode("overwrite").parquet(self.at(number))
+        for old in known[: max(0, len(known) + 1 - self.keep)]:
+            self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.at(old)), True)
+        return self.spark.read.parquet(self.at(number))
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Repartition a scan that has fewer splits than the cluster has cores.
 

@@ -24,7 +24,7 @@ FULLWIDTH_MARKS = "!(),.:;?"
 # --- Fixed values: typographic characters --------------------------------------
 QUOTES = "`=' ´=' «=\" »=\" ‘=' ’=' ‚=' ‛=' “=\" ”=\" „=\" ‟=\" ‹=' ›='"
 DASHES = "‒=- –=- —=-- ―=-- −=- －=-"
-SPACES = "       "
+SPACES = "\u00a0\u2002\u2003\u2009\u200a\u202f\u205f"
 SYMBOLS = "·=. ×=x ÷=/ •=* …=... ≈=~ ≠=!= ≤=<= ≥=>= ¼=1/4 ½=1/2 ¾=3/4 ⅓=1/3 ⅔=2/3 �="
 DEGREE = "°", " degrees"
 # --- Fixed values: the smaller table of the first normaliser -------------------
@@ -68,5 +68,8 @@ SPLIT_ABBREVIATIONS = (
     "Jan Feb Mar Apr Jun Jul Aug Sep Oct Nov Dec"
 ).split()
 REFUSAL_PATTERN = r"(?i)(^(i cannot|i can't|i am unable|as an ai|i'm sorry)|(i cannot (create|write|generate|provide))|(note:|disclaimer:)\s+this|wikihow article)"
+# --- Fixed values: names of label classes -----------------------------------------
+MACHINE_LABEL = r"(^|[^a-z])(ai|fake|machine|generated|gpt|chatgpt|llm|synthetic)([^a-z]|$)"
+HUMAN_LABEL = r"(human|real)"
 # --- Fixed values: quotas ---------------------------------------------------------
 FILLER_DOMAIN_WEIGHTS = [0.45, 0.30, 0.15, 0.10]
