@@ -6,7 +6,9 @@ import os
 
 import pytest
 
-from textquarry.plans.catalogue import QUERIES, SQL
+from textquarry.plans import catalogue, inventory
+
+QUERIES, SQL = catalogue.QUERIES | inventory.QUERIES, catalogue.SQL | inventory.SQL
 
 DATA = os.environ.get("TQ_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

@@ -88,6 +88,11 @@ def all_keys(parts: Sequence[Column], tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), found).distinct()
 
 
+def is_human(model: Column) -> Column:
+    """Whether a row's model is the human one (P2); null stays null."""
+    return model == "human"
+
+
 def name_matches(rows: DataFrame, name: str, patterns: Sequence[str]) -> DataFrame:
     """``rows`` with each ``pattern`` that the name contains, any case (J7): the short list travels as a literal, no join."""
     listed = F.array(*[F.lit(p) for p in patterns])

@@ -114,37 +114,30 @@ def q05(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", curate.mostly_english(F.col("text")).alias("english"))
 
 
-_GATE = f"""CASE WHEN coalesce(machine_text, '') = '' THEN 'empty' WHEN len(w) < 100 THEN 'short_' || len(w) || 'w' WHEN length(t) < 500 THEN 'short_' || length(t) || 'c'
-    WHEN regexp_matches(substr(t, 1, 300), '{q.tables.REFUSAL_PATTERN.replace("'", "''")}') THEN 'refusal'
-    WHEN length(t) - length(replace(t, '.', '')) < 3 AND NOT contains(t, chr(10)) THEN 'no_structure' ELSE 'ok' END"""
-_GATED = f"SELECT *, {q.white_words('t')} AS w FROM (SELECT *, {q.strip("coalesce(machine_text, '')")} AS t FROM generated_articles)"
-
-
-@query("q06_generation_gate", f"SELECT article_id, reason = 'ok' AS ok, reason FROM (SELECT article_id, {_GATE} AS reason FROM ({_GATED}))")
+@query("q06_generation_gate", f"SELECT article_id, reason = 'ok' AS ok, reason FROM (SELECT article_id, {q.GATE} AS reason FROM ({q.GATED}))")
 def q06(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "generated_articles").select("article_id", curate.generation_gate(F.col("machine_text")).alias("g")).select("article_id", "g.ok", "g.reason")
 
 
 @query(
     "q06_sensitive_titles",
-    "SELECT article_id, title, " + " OR ".join(f"contains(lower(title), '{w}')" for w in q.tables.SENSITIVE_TITLE_WORDS) + r" AS sensitive, regexp_extract(prompt, 'text of more than (\d+) characters', 1) AS asked FROM generated_articles",
+    "SELECT article_id, title, " + " OR ".join(f"contains(lower(title), '{w}')" for w in q.tables.SENSITIVE_TITLE_WORDS) + r" AS sensitive FROM generated_articles",
 )
 def q06s(spark: SparkSession, d: str) -> DataFrame:
-    asked = F.regexp_extract("prompt", r"text of more than (\d+) characters", 1)
-    return table(spark, d, "generated_articles").select("article_id", "title", curate.sensitive_title(F.col("title")).alias("sensitive"), asked.alias("asked"))
+    return table(spark, d, "generated_articles").select("article_id", "title", curate.sensitive_title(F.col("title")).alias("sensitive"))
 
 
-_HEAD = "array_to_string(list_slice(w, 1, 60), ' ')"
+_HEAD = "array_to_string(list_slice(w, 1, 600), ' ')"
 _STOP = f"(CASE WHEN contains({_HEAD}, '.') THEN length({_HEAD}) - strpos(reverse({_HEAD}), '.') + 1 ELSE 0 END)"
 
 
 @query(
     "q06_cleaned_generation",
     rf"""WITH t AS (SELECT article_id, regexp_replace(machine_text, '(?i)^(sure[!,]?\s+here[^.]*\.\s*|here is[^.]*\.\s*)', '') AS t FROM generated_articles), w AS (SELECT article_id, t, {q.white_words("coalesce(t, '')")} AS w FROM t)
-    SELECT article_id, trim(CASE WHEN len(w) > 60 THEN CASE WHEN {_STOP} - 1 > length({_HEAD}) * 0.7 THEN substr({_HEAD}, 1, {_STOP}) ELSE {_HEAD} END ELSE t END) AS cleaned FROM w""",
+    SELECT article_id, trim(CASE WHEN len(w) > 600 THEN CASE WHEN {_STOP} - 1 > length({_HEAD}) * 0.7 THEN substr({_HEAD}, 1, {_STOP}) ELSE {_HEAD} END ELSE t END) AS cleaned FROM w""",
 )
 def q06c(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "generated_articles").select("article_id", tokens.without_preamble(F.col("machine_text"), 60).alias("cleaned"))
+    return table(spark, d, "generated_articles").select("article_id", tokens.without_preamble(F.col("machine_text")).alias("cleaned"))
 
 
 @query("q07_prefix_dedup", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY substr(text, 1, 200) ORDER BY doc_id) = 1")
@@ -165,11 +158,11 @@ _SHARES = dict(zip(("news", "wiki", "reddit", "books"), q.tables.FILLER_DOMAIN_W
 @query(
     "q09_domain_quota",
     f"""SELECT doc_id, domain FROM (SELECT doc_id, domain, row_number() OVER (PARTITION BY domain ORDER BY doc_id) AS k FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY substr(text, 1, 200) ORDER BY doc_id) = 1))
-    WHERE k <= CASE domain {" ".join(f"WHEN '{k}' THEN floor(200 * {v})" for k, v in _SHARES.items())} ELSE 0 END""",
+    WHERE k <= CASE domain {" ".join(f"WHEN '{k}' THEN floor(200000 * {v})" for k, v in _SHARES.items())} ELSE 0 END""",
 )
 def q09(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "domain", curate.prefix(F.col("text")).alias("p"))
-    return curate.quota(curate.first_seen(docs, F.col("p"), [F.col("doc_id")]), "domain", [F.col("doc_id")], 200, _SHARES).select("doc_id", "domain")
+    return curate.quota(curate.first_seen(docs, F.col("p"), [F.col("doc_id")]), "domain", [F.col("doc_id")], 200_000, _SHARES).select("doc_id", "domain")
 
 
 @query(
@@ -228,9 +221,9 @@ def q14(spark: SparkSession, d: str) -> DataFrame:
     return split.equal_allocation(rows, "rec_id", ["domains", "generators", "attacks"], 500).select("rec_id")
 
 
-@query("q14_per_class_sample", "SELECT doc_id, label FROM documents QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42|' || doc_id), doc_id) <= 120")
+@query("q14_per_class_sample", "SELECT doc_id, label FROM documents QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42|' || doc_id), doc_id) <= 12000")
 def q14c(spark: SparkSession, d: str) -> DataFrame:
-    return split.per_cell(table(spark, d, "documents").select("doc_id", "label"), "doc_id", ["label"], 120).select("doc_id", "label")
+    return split.per_cell(table(spark, d, "documents").select("doc_id", "label"), "doc_id", ["label"], 12_000).select("doc_id", "label")
 
 
 @query("q14_fraction_sample", "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY label, domain ORDER BY md5('42|' || doc_id), doc_id) <= round(count(*) OVER (PARTITION BY label, domain) * 0.25)")
@@ -586,7 +579,7 @@ def q36(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q37_links", r"SELECT doc_id, regexp_extract(text, '(www\.[^\s]+|[A-Za-z0-9._-]+@[A-Za-z0-9.-]+)', 1) AS link, regexp_replace(source, '[^\p{L}\p{N}_.-]', '_', 'g') AS slug FROM documents WHERE text IS NOT NULL")
 def q37(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.regexp_extract("text", r"(www\.[^\s]+|[A-Za-z0-9._-]+@[A-Za-z0-9.-]+)", 1).alias("link"), tokens.slug(F.col("source")).alias("slug"))
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", tokens.first_link(F.col("text")).alias("link"), tokens.slug(F.col("source")).alias("slug"))
 
 
 @query("q38_unfolded_pairs", "SELECT article_id, 0 AS label, human_text AS text, 'human' AS generator FROM generated_articles WHERE human_text IS NOT NULL UNION ALL SELECT article_id, 1, machine_text, generator_id FROM generated_articles WHERE machine_text IS NOT NULL")
@@ -598,9 +591,7 @@ def q38(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q39_name_match", "SELECT p_partkey, pattern FROM part, (VALUES ('goldenrod'), ('AZURE'), ('Blue')) v(pattern) WHERE contains(lower(p_name), lower(pattern))")
 def q39(spark: SparkSession, d: str) -> DataFrame:
-    patterns = F.array(F.lit("goldenrod"), F.lit("AZURE"), F.lit("Blue"))
-    hits = F.filter(patterns, lambda p: F.contains(F.lower("p_name"), F.lower(p)))
-    return table(spark, d, "part").select("p_partkey", F.explode(hits).alias("pattern"))
+    return curate.name_matches(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", ["goldenrod", "AZURE", "Blue"]).select("p_partkey", "pattern")
 
 
 @query("q40_leaderboard", f"WITH {_SCORED}, m AS (SELECT domain, (avg((s > 0)::INT) FILTER (y = 1) + avg((s <= 0)::INT) FILTER (y = 0)) / 2 AS ba FROM scored GROUP BY domain) SELECT domain, round(ba, 6) AS ba, rank() OVER (ORDER BY coalesce(round(ba, 6), -1) DESC) AS place FROM m")
@@ -649,9 +640,7 @@ def q42o(spark: SparkSession, d: str) -> DataFrame:
 )
 def q43(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "generated_articles").filter("machine_text IS NOT NULL").select(F.col("generator_id").alias("generator"), "word_count", n64(tokens.word_count(F.col("machine_text"))).alias("w"))
-    return rows.groupBy("generator").agg(
-        F.count("*").alias("n"), r6(F.avg("w")).alias("mean_words"), F.median("w").alias("median_words"), F.min("w").alias("least"), F.max("w").alias("most"), F.count_if(F.coalesce(F.col("w") != F.col("word_count"), F.lit(True))).alias("stale"),
-    )
+    return stats.word_statistics(rows, "w", "word_count", ["generator"]).withColumn("mean_words", r6(F.col("mean_words")))
 
 
 @query("q44_polarity", f"WITH {_SCORED}, {_AUROC.format(by='domain,', part='PARTITION BY domain', whole='PARTITION BY domain')}, a AS (SELECT domain, coalesce(sum(p * (below + n / 2)) / nullif(max(pa) * max(na), 0) < 0.5, false) AS flipped FROM run GROUP BY domain) SELECT a.domain, a.flipped, round(sum(CASE WHEN flipped THEN -s ELSE s END), 6) AS total FROM scored JOIN a ON scored.domain IS NOT DISTINCT FROM a.domain GROUP BY ALL")

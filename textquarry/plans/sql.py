@@ -81,3 +81,9 @@ BUDGET = f"""{SENTENCES}, kept AS (SELECT doc_id, sentence, idx, n_words FROM (S
 
 def linear(x: str) -> str:
     return f"((-1.0::DOUBLE + 0.05::DOUBLE * len({white_words(x)})) + -0.4::DOUBLE * (length({x}) - length(replace({x}, '.', ''))))"
+
+
+GATE = f"""CASE WHEN coalesce(machine_text, '') = '' THEN 'empty' WHEN len(w) < 100 THEN 'short_' || len(w) || 'w' WHEN length(t) < 500 THEN 'short_' || length(t) || 'c'
+    WHEN regexp_matches(substr(t, 1, 300), '{tables.REFUSAL_PATTERN.replace("'", "''")}') THEN 'refusal'
+    WHEN length(t) - length(replace(t, '.', '')) < 3 AND NOT contains(t, chr(10)) THEN 'no_structure' ELSE 'ok' END"""
+GATED = f"SELECT *, {white_words('t')} AS w FROM (SELECT *, {strip("coalesce(machine_text, '')")} AS t FROM generated_articles)"

@@ -74,8 +74,9 @@ def predictions(scores: DataFrame, path: str, key: str = "id", score: str = "sco
     """Predictions as one JSON array of ``id`` and ``score`` (K6): a single document, so one task streams its lines."""
     rows = scores.select(F.to_json(F.struct(F.col(key).cast("string").alias("id"), F.col(score).cast("double").alias("score"))).alias("value"))
     opened = scores.sparkSession.range(1).select(F.lit("[").alias("value"))
-    closed = scores.sparkSession.range(1).select(F.lit("null]").alias("value"))
-    lines = opened.union(rows.select(F.concat("value", F.lit(",")).alias("value"))).union(closed)
+    closed = scores.sparkSession.range(1).select(F.lit("]").alias("value"))
+    comma = F.when(F.monotonically_increasing_id() > 0, ",").otherwise("")  # counts from 0 within the one partition
+    lines = opened.union(rows.coalesce(1).select(F.concat(comma, "value").alias("value"))).union(closed)
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 
