@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textquarry.operators.stats import edges, place, quantiles
+from textquarry.storage import Scratch
 
 
 def finite(scored: DataFrame) -> DataFrame:
@@ -30,6 +31,9 @@ def score_health(scored: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _counts(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Machines ``p`` and humans ``n`` of each distinct score; a table that has been counted comes back as it is."""
+    if {"s", "p", "n"} <= set(scored.columns):
+        return scored
     return finite(scored).groupBy(*by, "s").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
 
 
@@ -80,23 +84,32 @@ def roc_points(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def tpr_interpolated(scored: DataFrame, fpr: float, by: Sequence[str] = ()) -> DataFrame:
     """TPR at a false-positive rate, linear between ROC points."""
+    return tprs_interpolated(scored, {"tpr": fpr}, by)
+
+
+def tprs_interpolated(scored: DataFrame, fprs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """A column for each named false-positive rate, from one pass over the ROC points."""
     points = roc_points(scored, by)
-    low = F.max(F.when(F.col("fpr") <= fpr, F.struct("fpr", "tpr")))
-    high = F.min(F.when(F.col("fpr") >= fpr, F.struct("fpr", "tpr")))
-    ends = points.groupBy(*by).agg(low.alias("a"), high.alias("b"))
-    slope = F.coalesce(F.try_divide(F.col("b.tpr") - F.col("a.tpr"), F.col("b.fpr") - F.col("a.fpr")), F.lit(0.0))
-    return ends.select(*by, (F.col("a.tpr") + slope * (fpr - F.col("a.fpr"))).alias("tpr"))
+    low = lambda x: F.max(F.when(F.col("fpr") <= x, F.struct("fpr", "tpr")))
+    high = lambda x: F.min(F.when(F.col("fpr") >= x, F.struct("fpr", "tpr")))
+    ends = points.groupBy(*by).agg(*[f(x).alias(f"{side}_{name}") for name, x in fprs.items() for side, f in (("a", low), ("b", high))])
+
+    def between(name: str, x: float) -> Column:
+        a, b = F.col(f"a_{name}"), F.col(f"b_{name}")
+        return a["tpr"] + F.coalesce(F.try_divide(b["tpr"] - a["tpr"], b["fpr"] - a["fpr"]), F.lit(0.0)) * (x - a["fpr"])
+
+    return ends.select(*by, *[between(name, x).alias(name) for name, x in fprs.items()])
 
 
 def tpr_empirical(scored: DataFrame, fpr: float, by: Sequence[str] = (), strict: bool = True, least_humans: int = 21) -> DataFrame:
     """TPR beyond the linear quantile of the human scores (A11); null under ``least_humans``."""
-    rows = finite(scored)
-    humans = rows.groupBy(*by).agg(F.count_if(F.col("y") == 0).alias("n_human"))
-    cut = quantiles(rows.filter("y = 0"), "s", [1 - fpr], by).select(*by, F.col("q").alias("cut"))
+    counts = _counts(scored, by)
+    humans = counts.groupBy(*by).agg(F.sum("n").alias("n_human"))
+    cut = quantiles(counts.filter("n > 0"), "s", [1 - fpr], by, "n").select(*by, F.col("q").alias("cut"))
     cut = _join(humans, cut, by, "left")
-    wide = _join(rows, cut, by)
+    wide = _join(counts, cut, by)
     hit = F.col("s") > F.col("cut") if strict else F.col("s") >= F.col("cut")
-    rate = F.avg(F.when(F.col("y") == 1, hit.cast("double")))
+    rate = F.try_divide(F.sum(F.when(hit, F.col("p")).otherwise(F.lit(0))).cast("double"), F.sum("p"))
     return wide.groupBy(*by).agg(F.max("cut").alias("threshold"), F.when(F.max("n_human") >= least_humans, rate).alias("tpr"))
 
 
@@ -149,7 +162,7 @@ def fixed_grid(scored: DataFrame, start: float, stop: float, step: float, by: Se
 def quantile_grid(scored: DataFrame, count: int = 1500, low: float = 0.001, high: float = 0.999, by: Sequence[str] = ()) -> DataFrame:
     """Distinct linear quantiles of the scores."""
     probs = [low + (high - low) * i / (count - 1) for i in range(count)]
-    return quantiles(finite(scored), "s", probs, by).select(*by, F.col("q").alias("t")).distinct()
+    return quantiles(_counts(scored, by).withColumn("_both", F.col("p") + F.col("n")), "s", probs, by, "_both").select(*by, F.col("q").alias("t")).distinct()
 
 
 def youden(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -174,16 +187,15 @@ def metric_block(scored: DataFrame, threshold: float, by: Sequence[str] = (), le
     quantile grid and its gap. ``native`` adds the BA at the detector's own threshold, ``interval`` the bootstrap
     interval of the BA. Where a class is missing, all but sizes, recalls and BA are null.
     """
-    rows = finite(scored)
-    base = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("n_machine"), F.count_if(F.col("y") == 0).alias("n_human"), *balanced_accuracy(F.lit(threshold)))
-    out = _join(_join(base, auroc(scored, by), by), tpr_empirical(scored, fpr, by).drop("threshold"), by)
-    out = _join(out, oracle_accuracy(scored, by).drop("tau"), by, "left")
-    for at, name in ((0.01, "tpr_1"), (0.05, "tpr_5")):
-        out = _join(out, tpr_interpolated(scored, at, by).withColumnRenamed("tpr", name), by, "left")
+    counts = Scratch(scored.sparkSession, "metrics").save(_counts(scored, by), "counts")  # read by every curve below
+    base = counts.groupBy(*by).agg((F.sum("p") + F.sum("n")).alias("n"), F.sum("p").alias("n_machine"), F.sum("n").alias("n_human"), *_counted_accuracy(threshold))
+    out = _join(_join(base, auroc(counts, by), by), tpr_empirical(counts, fpr, by).drop("threshold"), by)
+    out = _join(out, oracle_accuracy(counts, by).drop("tau"), by, "left")
+    out = _join(out, tprs_interpolated(counts, {"tpr_1": 0.01, "tpr_5": 0.05}, by), by, "left")
     out = out.withColumn("oracle_gap", F.col("oracle_ba") - F.col("ba"))
     names = ["tpr_1", "tpr_5", "oracle_ba", "oracle_gap"]
     if native is not None:
-        own = rows.groupBy(*by).agg(*balanced_accuracy(F.lit(native))).select(*by, F.col("ba").alias("ba_native"))
+        own = counts.groupBy(*by).agg(*_counted_accuracy(native)).select(*by, F.col("ba").alias("ba_native"))
         out, names = _join(out, own, by), [*names, "ba_native"]
     if interval:
         out, names = _join(out, bootstrap_interval(scored, threshold, by), by), [*names, "low", "high"]
@@ -192,6 +204,13 @@ def metric_block(scored: DataFrame, threshold: float, by: Sequence[str] = (), le
     return out.select(*by, "n", "n_machine", "n_human", "single_class", *guarded, *paired)
 
 
+def _counted_accuracy(threshold: float) -> list[Column]:
+    """As ``balanced_accuracy`` with strict edges, from counts per score."""
+    rate = lambda c, hit: F.try_divide(F.sum(F.when(hit, F.col(c)).otherwise(F.lit(0))).cast("double"), F.sum(c))
+    machine, human = rate("p", F.col("s") > threshold), rate("n", F.col("s") <= threshold)
+    return [machine.alias("recall_machine"), human.alias("recall_human"), F.coalesce((machine + human) / 2, machine, human).alias("ba"), (machine.isNull() | human.isNull()).alias("single_class")]
+
+
 def oracle_accuracy(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``tau`` and ``oracle_ba``: the best BA over the group's own quantile grid."""
     return best_threshold(scored, quantile_grid(scored, by=by), by).withColumnRenamed("ba", "oracle_ba")

@@ -24,7 +24,7 @@ RANGES, ACCURACY = 256, 2_000
 
 def edges(value: str) -> Column:
     """Aggregate: edges that cut the values of a group into ranges of about equal numbers of rows, whatever their spread."""
-    return F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], ACCURACY)
+    return F.expr(f"percentile_approx(`{value}`, array({', '.join(f'{i / RANGES!r}D' for i in range(1, RANGES))}), {ACCURACY})")
 
 
 def place(cuts: Column, value: Column, inclusive: bool = False) -> Column:
@@ -38,22 +38,24 @@ def place(cuts: Column, value: Column, inclusive: bool = False) -> Column:
     return F.aggregate(steps, F.lit(0), step)
 
 
-def quantiles(rows: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def quantiles(rows: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Exact linear quantiles: ``by``, ``p``, ``q``; nulls in ``value`` are left out, nulls in ``by`` are a group.
 
+    ``weight`` says for how many equal rows a row stands (a whole number).
+
     Values are counted, ranks run within ranges of about equal numbers of distinct values and are shifted by
     the ranges below, and each wanted rank is looked up in its range. No task
     holds a group's values, as the built-in exact percentile would, and outliers do not stretch a range.
     """
     keys = [f"_b{i}" for i in range(len(by))]
-    named = rows.filter(F.col(value).isNotNull()).select(*[F.struct(F.col(c)).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("s"))
-    counts = named.groupBy(*keys, "s").agg(F.count("*").alias("c"))
+    named = rows.filter(F.col(value).isNotNull()).select(*[F.struct(F.col(c)).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("s"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"))
+    counts = named.groupBy(*keys, "s").agg(F.sum("_w").alias("c")).filter("c > 0")
     bounds = counts.groupBy(*keys).agg(edges("s").alias("cuts"), F.sum("c").alias("n")).filter("n IS NOT NULL")
     meet = lambda left, right, on: left.join(right, on) if on else left.join(F.broadcast(right))  # noqa: E731  without groups one row
     ranged = meet(counts, bounds, keys).withColumn("r", place(F.col("cuts"), F.col("s"))).drop("cuts")
     below = Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     totals = ranged.groupBy(*keys, "r").agg(F.sum("c").alias("t")).withColumn("base", F.sum("t").over(below) - F.col("t"))
-    at = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
+    at = F.explode(F.split(F.lit(" ".join(repr(float(p)) for p in probs)), " ").cast("array<double>")).alias("p")  # one literal, however many
     wanted = bounds.select(*keys, "n", at).withColumn("h", F.col("p") * (F.col("n") - 1)).withColumn("k0", F.floor("h"))
     wanted = wanted.select(*keys, "p", "h", "k0", F.explode(F.array(F.col("k0"), F.least(F.col("k0") + 1, F.col("n") - 1))).alias("k")).distinct()
     # both sides hold a fixed number of rows per group
