@@ -102,3 +102,44 @@ def test_long_hostile_texts_take_linear_time():
         counts = s.Counter()
         s.observe(text, "en", counts)
         assert time.time() - began < 8 and (spans or not text.strip())
+
+
+WORDS = {
+    "it": "il la che di un per con non sono della una anche", "nl": "de het een van en dat niet met voor zijn ook naar",
+    "pl": "nie na do jest się to że był jak po od przez", "pt": "o os que não uma com para ele mais como foi dos",
+    "uk": "і не на що він як до та це або під час", "ru": "и не на что он как по это из за был или",
+}
+
+
+def test_every_language_of_the_column_has_its_own_model(spark):
+    rng = random.Random(17)
+    docs, id_ = [], 0
+    for lang, words in WORDS.items():
+        short = "вул" if lang in ("uk", "ru") else "sig"
+        for _ in range(120):
+            parts = [" ".join(["Oto" if lang not in ("uk", "ru") else "Ось", *rng.choices(words.split(), k=9)]) + "." for _ in range(4)]
+            parts.insert(rng.randrange(4), " ".join(rng.choices(words.split(), k=4)).capitalize() + f" {short}. {rng.choice(NAMES)} " + " ".join(rng.choices(words.split(), k=4)) + ".")
+            docs.append((id_, " ".join(parts), rng.choice([lang, lang, lang.upper(), None, "de"]) if id_ % 9 == 0 else lang))
+            id_ += 1
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    rows = s.learn(df).collect()
+    assert {r.lang for r in rows if r.kind == "telling"} >= set(WORDS)
+    known = s.Languages(rows)
+    for lang, words in WORDS.items():
+        block = " ".join(w for w in words.split())
+        assert known(block, None)[1] == lang and known(block, "de")[1] == lang
+    assert known("Xyz 12", "pl")[1] == "pl" and known("Xyz 12", "qq")[1] in WORDS and known("123", None)[0] == "latin"
+    assert s.Languages([])("Xyz", None) == ("latin", "latin")
+
+
+def test_collocations_bind_words_that_are_no_abbreviations(spark):
+    more = []
+    for i in range(200):
+        more.append((9000 + i, f"The council opened Art. {i % 9 + 1} of the list. An art {' art' * 40} is new.", "en"))
+    docs = spark.createDataFrame(corpus() + more, "doc_id long, text string, lang string")
+    model = s.learn(docs)
+    pairs = {r.word for r in model.filter("kind = 'collocation'").collect()}
+    assert "art d" in pairs and not any(r.word == "art" for r in model.filter("kind = 'abbreviation'").collect())
+    texts = [("They read Art. 5 again. It was art. The end.", "en")]
+    out = s.split_sentences(spark.createDataFrame([(1, *texts[0])], "doc_id long, text string, lang string"), model=model).collect()
+    assert [texts[0][0][r.start_pos : r.end_pos] for r in sorted(out)] == ["They read Art. 5 again.", "It was art.", "The end."]

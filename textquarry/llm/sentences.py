@@ -1,22 +1,27 @@
 """Sentence boundaries across languages and scripts (problem 7).
 
-Two passes. The first counts, over all documents and per language: which words
-open paragraphs and follow sure ends (sentence starters), what follows each word
-that carries a period, and how often words stand without one. Pairs of a word and
-its follower (collocations) are not tested and are left out of the model.
-Log-likelihood ratios turn the counts into a model: a starter opens sentences
+Three passes. The first counts short words and scripts per value of the language column;
+words that one value has significantly more often than the others (log-likelihood ratio)
+tell its language apart, the script most of its letters belong to is its script. The second counts, over
+all documents and per language: which words open paragraphs and follow sure ends
+(sentence starters), what follows each word that carries a period, and how often
+words stand without one. Log-likelihood ratios turn the counts into a model: a starter opens sentences
 more often than it stands inside; an abbreviation is a word whose period is followed
 by something other than a starter more often than periods are in general; it
-can end a sentence if starters are among what follows it. Numbers are words of the
-same kind by their length, which learns ordinals. Nothing is listed by hand.
+can end a sentence if starters are among what follows it; a collocation is a word with a period and
+a follower that stand together more often than either would by chance, and binds where
+its word is no abbreviation. Numbers are words of the same kind by their length, which learns ordinals.
+No word and no language is listed by hand.
 
-The second pass classifies each end mark with the model: marks inside a pair of
+The third pass classifies each end mark with the model: marks inside a pair of
 quotation marks or brackets never end a sentence, other marks by what stands
-around them. Language is decided per paragraph, by script or by the most frequent
-short words, as the language column may be null or wrong.
+around them. Language is decided per paragraph, by its script and the learned short
+words, as the language column may be null or wrong; without such words the column
+decides where it names a language of that script, else the script's most frequent language,
+else the script itself, which is a language of its own then.
 
 The model is broadcast if it has at most ``MODEL_ROWS`` rows; a larger one is
-joined to each document's own words. Defined cases: null, empty and white-space
+joined to each document's own words, of which one function lists all that may be looked up. Defined cases: null, empty and white-space
 texts have no sentences; positions count code points.
 """
 
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.normalize import fold_text
@@ -43,6 +48,10 @@ STARTER_SHARE = 0.6
 ABBREVIATION_SHARE, ENDING_SHARE = 0.5, 0.35
 #: Least share of a reporting word's occurrences that follow quoted speech.
 REPORT_SHARE = 0.2
+#: Words of a language that tell it apart, their greatest length, and the least share of all words of a language.
+TELLING, TELLING_CHARS, LEAST_LANGUAGE = 40, 6, 1e-4
+#: Least share of a word's periods that are followed by the other part of a collocation, and least number.
+COLLOCATION_SHARE, COLLOCATION_COUNT = 0.5, 5
 #: An abbreviation stands without its period at most this often for each time with it.
 BARE_RATIO = 10
 
@@ -72,41 +81,106 @@ MIXED_CASE = re.compile("[a-z][A-Z]")
 TAIL = re.compile(r"[^\W_]{2,}$")
 DEVANAGARI = re.compile("[ऀ-ॿ]")
 THAI_SPACE = re.compile(r"(?<=\S)\s+(?=\S)")
-SCRIPTS = [("th", re.compile("[฀-๿]")), ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[一-鿿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ar", re.compile("[؀-ۿ]")), ("ru", re.compile("[Ѐ-ӿ]"))]
-LATIN = re.compile("[A-Za-zÀ-ɏ]")
-CYRILLIC = re.compile("[Ѐ-ӿ]+")
+#: Scripts in the order in which they are looked for; kana before Han, which Japanese uses, too.
+SCRIPTS = [("thai", re.compile("[\u0e00-\u0e7f]")), ("kana", re.compile("[\u3040-\u30ff]")), ("han", re.compile("[\u4e00-\u9fff]")), ("devanagari", re.compile("[\u0900-\u097f]")), ("arabic", re.compile("[\u0600-\u06ff]")), ("cyrillic", re.compile("[\u0400-\u04ff]"))]
+#: Scripts without spaces or case, whose words are not counted.
+UNSPACED = ("thai", "kana", "han")
+LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
+CYRILLIC = re.compile("[\u0400-\u04ff]+")
 LETTER_RUN = re.compile(r"[^\W\d_]+")
-# --- Fixed values: short words that tell languages of one script apart -------------
-SHORT_WORDS = {
-    "en": "the of and to a in is was it that for with on as are at this but from by not".split(),
-    "de": "der die das und ist nicht ein eine mit von im für auf den dem zu war als sich am".split(),
-    "fr": "le la les des et est une un du dans que qui pour sur pas avec au était il plus".split(),
-    "es": "el la los las y es una un de del que en por con para era como más se no".split(),
-    "cs": "a je v se na že už jsou byla bylo když kde také ne do z jak tak ze věží".split(),
-}
-VOTES: dict[str, list[str]] = {}
-for _lang, _words in SHORT_WORDS.items():
-    for _word in _words:
-        VOTES.setdefault(_word, []).append(_lang)
-
-
-def language(block: str, column: str | None) -> str:
-    """The script's language, or for Latin letters the one whose short words are most frequent; ties go to the column."""
+
+
+def script(block: str) -> str:
+    """The script of most letters; some kana are Japanese, and half as many Latin letters make Cyrillic ones look-alikes."""
     if not block.isascii():
         latin = len(LATIN.findall(block))
-        for name, script in SCRIPTS:
-            n = len(script.findall(block))
-            if n and (n > latin or name == "ja" and n > 3) and not (name == "ru" and latin > n / 2):
+        for name, letters in SCRIPTS:
+            n = len(letters.findall(block))
+            if n and (n > latin or name == "kana" and n > 3) and not (name == "cyrillic" and latin > n / 2):
                 return name
-    votes: dict[str, int] = {}
-    for word in LETTER_RUN.findall(block.lower()):
-        for lang in VOTES.get(word, ()):
-            votes[lang] = votes.get(lang, 0) + 1
-    known = (column or "").strip().lower()
-    if not votes:
-        return known if known in SHORT_WORDS else "en"
-    best = max(votes.values())
-    return known if votes.get(known) == best else max(votes, key=lambda x: (votes[x], x))
+    return "latin"
+
+
+def clean_language(column: str | None) -> str:
+    return (column or "").strip().lower()
+
+
+class Languages:
+    """The learned languages: their scripts and the words that tell them apart."""
+
+    def __init__(self, rows) -> None:
+        self.script: dict[str, str] = {}
+        self.largest: dict[str, str] = {}
+        self.votes: dict[str, list[str]] = {}
+        for lang, what, word, *_ in rows:
+            if what == "script":
+                self.script[lang] = word
+            elif what == "largest":
+                self.largest[word] = lang
+            elif what == "telling":
+                self.votes.setdefault(word, []).append(lang)
+
+    def __call__(self, block: str, column: str | None) -> tuple[str, str]:
+        """(script, language) of a block: the language whose words are most frequent, ties and blocks without them by the column."""
+        found = script(block)
+        known = clean_language(column)
+        votes: dict[str, int] = {}
+        if found not in UNSPACED:
+            for word in LETTER_RUN.findall(block.lower()):
+                for lang in self.votes.get(word, ()):
+                    if self.script.get(lang) == found:
+                        votes[lang] = votes.get(lang, 0) + 1
+        if not votes:
+            trusted = known and (self.script.get(known) == found or not self.script)  # nothing learned: the column alone
+            return found, known if trusted else self.largest.get(found, found)
+        best = max(votes.values())
+        return found, known if votes.get(known) == best else max(votes, key=lambda x: (votes[x], x))
+
+
+def language_words(docs: DataFrame) -> DataFrame:
+    """``lang``, ``kind`` (word, script), ``word``, ``n``: short words and letters by script per value of the column, over all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[str, Counter] = {}
+            scripts: Counter = Counter()
+            for text, column in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lang = clean_language(column)
+                if text and lang:
+                    name = script(text)
+                    scripts[lang, name] += len(text)
+                    if name not in UNSPACED:
+                        counts.setdefault(lang, Counter()).update(w for w in LETTER_RUN.findall(text.lower()) if len(w) <= TELLING_CHARS)
+            rows = [(lang, "word", w, n) for lang, words in counts.items() for w, n in words.items()] + [(lang, "script", name, n) for (lang, name), n in scripts.items()]
+            if rows:
+                lang, kind, word, n = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(kind, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["lang", "kind", "word", "n"])
+
+    return docs.select("text", "lang").mapInArrow(run, "lang string, kind string, word string, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
+
+
+def learn_languages(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``lang``, ``kind`` (script, largest, telling), ``word``, ``ends``: at most ``TELLING`` + 2 rows for each of at most 1 / ``LEAST_LANGUAGE`` languages."""
+    seen = scratch.save(language_words(docs), "language-words")
+    letters = seen.filter("kind = 'script'")
+    whole = letters.agg(F.sum("n").alias("whole"))
+    size = letters.groupBy("lang").agg(F.sum("n").alias("size"), F.max(F.struct("n", "word"))["word"].alias("script"))
+    size = scratch.save(size.join(F.broadcast(whole)).filter(F.col("size") >= LEAST_LANGUAGE * F.col("whole")).select("lang", "size", "script"), "languages")
+    first = Window.partitionBy("script").orderBy(F.desc("size"), "lang")
+    largest = size.withColumn("k", F.row_number().over(first)).filter("k = 1")
+    words = seen.filter("kind = 'word'").join(F.broadcast(size.select("lang", "script")), "lang")
+    of_lang = words.groupBy("lang").agg(F.sum("n").alias("n_all"))
+    of_word = words.groupBy("script", "word").agg(F.sum("n").alias("k_all"))
+    of_script = words.groupBy("script").agg(F.sum("n").alias("every"))
+    tested = words.join(of_word, ["script", "word"]).join(F.broadcast(of_lang), "lang").join(F.broadcast(of_script), "script")
+    k, n, k_all, every = (F.col(c) for c in ("n", "n_all", "k_all", "every"))
+    more = F.when(every > n, k / n > (k_all - k) / (every - n)).otherwise(True)
+    ratio = F.when(every > n, _ratio(k, n, k_all, every)).otherwise(k.cast("double"))  # the only language of its script
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("ratio"), "word"))
+    telling = tested.filter(more).withColumn("ratio", ratio).filter(F.col("ratio") > SIGNIFICANT).withColumn("rank", rank).filter(F.col("rank") <= TELLING)
+    no = F.lit(False).alias("ends")
+    rows = size.select("lang", F.lit("script").alias("kind"), F.col("script").alias("word"), no).unionByName(largest.select("lang", F.lit("largest").alias("kind"), F.col("script").alias("word"), no))
+    return scratch.save(rows.unionByName(telling.select("lang", F.lit("telling").alias("kind"), "word", no)), "telling")
 
 
 @lru_cache(maxsize=100_000)
@@ -231,16 +305,17 @@ def _last(block: str, end: int) -> str:
     return block[end - 1 : end] if end else ""
 
 
-def observe(text: str, lang: str | None, counts: Counter) -> None:
+def observe(text: str, lang: str | None, counts: Counter, languages: Languages | None = None) -> None:
     """Add a text's evidence: (language, kind, word, follower) -> count.
 
     Kinds: S sure start, I sure inside, P word with period and its follower,
     B word without period, R word after quoted speech that goes on.
     """
+    languages = languages or Languages([])
     for a, b in blocks(text):
         block = text[a:b]
-        tongue = language(block, lang)
-        if tongue in ("zh", "ja", "th"):
+        written, tongue = languages(block, lang)
+        if written in UNSPACED:
             continue
         starts = set()
         mark = ITEM_MARK.match(block)
@@ -255,8 +330,7 @@ def observe(text: str, lang: str | None, counts: Counter) -> None:
                 starts.add(x.next_at + len(x.lead))
             if x.run == "." and x.gap and x.word and not x.closed:
                 dotted.add(x.at)
-                follower = kind(x.next)
-                counts[tongue, "P", key(x.word), key(x.next) if follower in ("u", "n") else follower or "o"] += 1
+                counts[tongue, "P", key(x.word), follower_key(x.next)] += 1
         for i, j in spans:
             last_inside = _last(block, j)
             after = WORD.match(block, _skip(block, j + 1, " ,—–"))
@@ -274,15 +348,18 @@ def observe(text: str, lang: str | None, counts: Counter) -> None:
                     counts[tongue, "I", key(form), ""] += 1
 
 
-def evidence(docs: DataFrame) -> DataFrame:
+def evidence(docs: DataFrame, languages: list[tuple]) -> DataFrame:
     """``lang``, ``kind``, ``word``, ``follower``, ``n`` over all documents (``text``, ``lang``)."""
 
+    shipped = docs.sparkSession.sparkContext.broadcast(languages)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Languages(shipped.value)
         for batch in batches:
             counts: Counter = Counter()
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    observe(text, lang, counts)
+                    observe(text, lang, counts, known)
             if counts:
                 columns = [pa.array(c, pa.string()) for c in zip(*counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names=["lang", "kind", "word", "follower", "n"])
@@ -304,9 +381,14 @@ def _ratio(k, n, k_all, n_all):
 
 
 def learn(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """The model: ``lang``, ``kind`` (starter, abbreviation, report), ``word``, ``ends``."""
+    """The model: ``lang``, ``kind``, ``word``, ``ends``.
+
+    Kinds: starter, abbreviation (``ends``: it may end a sentence), report, collocation (``word`` is the word and its
+    follower with a blank between), and those of ``learn_languages``.
+    """
     scratch = scratch or Scratch(docs.sparkSession, "sentences")
-    seen = scratch.save(evidence(docs), "evidence")
+    languages = learn_languages(docs, scratch)
+    seen = scratch.save(evidence(docs, [tuple(r) for r in languages.collect()]), "evidence")  # bounded, see there
     sure = seen.filter("kind IN ('S', 'I')").groupBy("lang", "word").agg(F.sum(F.when(F.col("kind") == "S", F.col("n")).otherwise(0)).alias("s"), F.sum("n").alias("n"))
     whole = sure.groupBy("lang").agg(F.sum("s").alias("s_all"), F.sum("n").alias("n_all"))
     starters = sure.join(F.broadcast(whole), "lang").filter((F.col("s") / F.col("n") >= STARTER_SHARE) & (_ratio(F.col("s"), F.col("n"), F.col("s_all"), F.col("n_all")) > SIGNIFICANT / 2) & (F.col("s") / F.col("n") > F.col("s_all") / F.col("n_all")))
@@ -328,9 +410,23 @@ def learn(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     spoken = after.groupBy("lang").agg(F.sum("k").alias("k_all")).join(bare.groupBy("lang").agg(F.sum("bare").alias("n_all")), "lang")
     said = said.join(F.broadcast(spoken), "lang").filter((F.col("k") / F.col("bare") >= REPORT_SHARE) & (F.col("k") / F.col("bare") > F.col("k_all") / F.col("n_all")))
     said = said.filter(_ratio(F.col("k"), F.col("bare"), F.col("k_all"), F.col("n_all")) > SIGNIFICANT).join(starters, ["lang", "word"], "left_anti")
-    function_words = F.coalesce(F.array_contains(F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in SHORT_WORDS.items() for x in pair])[F.col("lang")], F.col("word")), F.lit(False))
-    reports = said.filter(~function_words).select("lang", F.lit("report").alias("kind"), "word", F.lit(False).alias("ends"))
-    return scratch.save(starters.select("lang", F.lit("starter").alias("kind"), "word", F.lit(False).alias("ends")).unionByName(short).unionByName(reports), "model")
+    reports = said.select("lang", F.lit("report").alias("kind"), "word", F.lit(False).alias("ends"))
+    bound = _collocations(seen, starters, short)
+    return scratch.save(starters.select("lang", F.lit("starter").alias("kind"), "word", F.lit(False).alias("ends")).unionByName(short).unionByName(reports).unionByName(bound).unionByName(languages), "model")
+
+
+def _collocations(seen: DataFrame, starters: DataFrame, short: DataFrame) -> DataFrame:
+    """Pairs of a word with its period and the follower that the log-likelihood ratio binds; abbreviations and starters need none."""
+    pairs = seen.filter("kind = 'P' AND word <> '' AND follower NOT IN ('o', 'l')").select("lang", "word", "follower", F.col("n").alias("k"))
+    periods = seen.filter("kind = 'P'")
+    of_word = periods.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    of_follower = periods.groupBy("lang", "follower").agg(F.sum("n").alias("k_all"))
+    every = periods.groupBy("lang").agg(F.sum("n").alias("n_all"))
+    tested = pairs.filter(F.col("k") >= COLLOCATION_COUNT).join(of_word, ["lang", "word"]).join(of_follower, ["lang", "follower"]).join(F.broadcast(every), "lang")
+    tested = tested.filter((F.col("k") >= COLLOCATION_SHARE * F.col("n")) & (F.col("k") / F.col("n") > F.col("k_all") / F.col("n_all")))
+    tested = tested.filter(_ratio(F.col("k"), F.col("n"), F.col("k_all"), F.col("n_all")) > SIGNIFICANT)
+    tested = tested.join(starters.select("lang", F.col("word").alias("follower")), ["lang", "follower"], "left_anti").join(short.select("lang", "word"), ["lang", "word"], "left_anti")
+    return tested.select("lang", F.lit("collocation").alias("kind"), F.concat_ws(" ", "word", "follower").alias("word"), F.lit(False).alias("ends"))
 
 
 class Model:
@@ -340,16 +436,32 @@ class Model:
         self.starters: set[tuple[str, str]] = set()
         self.reports: set[tuple[str, str]] = set()
         self.short: dict[tuple[str, str], bool] = {}
+        self.bound: set[tuple[str, str]] = set()
         for lang, what, word, ends in rows:
             if what == "starter":
                 self.starters.add((lang, word))
             elif what == "report":
                 self.reports.add((lang, word))
-            else:
+            elif what == "collocation":
+                self.bound.add((lang, word))
+            elif what == "abbreviation":
                 self.short[lang, word] = ends
 
 
-def _ends(x: Mark, block: str, start: int, lang: str, model: Model, opened: int, noisy: bool) -> bool:
+def follower_key(word: str) -> str:
+    """How the evidence names what follows a period: a word with a capital or without case itself, else its kind."""
+    what = kind(word)
+    return key(word) if what in ("u", "n") else what or "o"
+
+
+def keys(x: Mark) -> set[str]:
+    """Every word that ``_ends`` may look up for a mark."""
+    word = key(x.word) if x.word else ""
+    tail = TAIL.search(x.word)
+    return {w for w in (word, word.rsplit(".", 1)[-1], key(tail[0]) if tail else "", key(x.next) if x.next else "", f"{word} {follower_key(x.next)}") if w}
+
+
+def _ends(x: Mark, block: str, start: int, written: str, lang: str, model: Model, opened: int, noisy: bool) -> bool:
     """Whether the mark ends its sentence, which began at ``start`` (``opened``: after a list mark; ``noisy``: case says little)."""
     after = kind(x.next)
     following = block[x.end : x.end + 1]
@@ -372,7 +484,7 @@ def _ends(x: Mark, block: str, start: int, lang: str, model: Model, opened: int,
         if after == "l":
             return x.run[-1] in DOTS or before in ":,："
         if after == "n":
-            return before in ":,：，،" or (lang in ("hi", "ar") and starter)
+            return before in ":,：，،" or (written in ("devanagari", "arabic") and starter)
         return True
     if x.run[-1] in STRONG:
         if x.gap:
@@ -387,7 +499,7 @@ def _ends(x: Mark, block: str, start: int, lang: str, model: Model, opened: int,
         return bool(tail) and capitalised and (lang, key(tail[0])) not in model.short and not CHAIN.fullmatch(x.word)
     if x.run == "." or x.run == "．":
         word = key(x.word)
-        if lang == "hi" and DEVANAGARI.match(x.word):
+        if written == "devanagari" and DEVANAGARI.match(x.word):
             return False  # the script has its own end mark
         if x.word_at <= start and x.word.isdigit() and opened > start:
             return False
@@ -399,7 +511,7 @@ def _ends(x: Mark, block: str, start: int, lang: str, model: Model, opened: int,
         if initial and known is None:
             return starter and after != "l" and not x.initial
         if known is None and not chain:
-            return True
+            return (lang, f"{word} {follower_key(x.next)}") not in model.bound
         if after in ("l", "d") or (after == "" and x.lead == "") or x.lead[:1] in ("(", "（"):
             return False
         ends = known if known is not None else True
@@ -414,14 +526,15 @@ def _ends(x: Mark, block: str, start: int, lang: str, model: Model, opened: int,
     return after not in ("l", "d")
 
 
-def segment(text: str | None, lang: str | None, model: Model) -> list[tuple[int, int]]:
+def segment(text: str | None, lang: str | None, model: Model, languages: Languages | None = None) -> list[tuple[int, int]]:
     """Sentences of a text as (start, end) positions in code points, end exclusive."""
     if not text:
         return []
     out: list[tuple[int, int]] = []
+    languages = languages or Languages([])
     for a, b in blocks(text):
         block = text[a:b]
-        tongue = language(block, lang)
+        written, tongue = languages(block, lang)
         spans = pairs(block)
         noisy = len(MIXED_CASE.findall(block)) >= 3
         cuts = []
@@ -431,11 +544,11 @@ def segment(text: str | None, lang: str | None, model: Model) -> list[tuple[int,
         for x in marks(block, spans):
             if x.at < opened or x.at < start:
                 continue
-            if _ends(x, block, start, tongue, model, max(opened, start), noisy):
+            if _ends(x, block, start, written, tongue, model, max(opened, start), noisy):
                 cuts.append(x.end)
                 start = x.next_at
                 opened = start
-        if tongue == "th" or THAI.search(block):
+        if written == "thai" or THAI.search(block):
             cuts = sorted({*cuts, *_thai_cuts(block, spans)})
         at = 0
         for cut in [*cuts, len(block)]:
@@ -483,39 +596,42 @@ def split_sentences(docs: DataFrame, doc: str = "doc_id", text: str = "text", la
         model = learn(slim, scratch)
     kind_of = docs.schema[doc].dataType.simpleString()
     schema = f"{doc} {kind_of}, start_pos int, end_pos int"
-    if small_enough(model, max_rows):
-        shipped = spark.sparkContext.broadcast([tuple(r) for r in model.select("lang", "kind", "word", "ends").collect()])  # at most max_rows
+    of_language = F.col("kind").isin("script", "largest", "telling")
+    languages = spark.sparkContext.broadcast([tuple(r) for r in model.filter(of_language).select("lang", "kind", "word", "ends").collect()])  # bounded, see learn_languages
+    learned = model.filter(~of_language).select("lang", "kind", "word", "ends")
+    if small_enough(learned, max_rows):
+        shipped = spark.sparkContext.broadcast([tuple(r) for r in learned.collect()])  # at most max_rows
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = Model(shipped.value)
+            known, spoken = Model(shipped.value), Languages(languages.value)
             for batch in batches:
-                found = [segment(t, x, known) for t, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                found = [segment(t, x, known, spoken) for t, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
                 yield _rows(batch.column(0), found, doc)
 
         return slim.mapInArrow(run, schema)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spoken = Languages(languages.value)
         for batch in batches:
-            counts = [set() for _ in range(batch.num_rows)]
+            counts: list[set[tuple[str, str]]] = [set() for _ in range(batch.num_rows)]
             for own, t, x in zip(counts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for a, b in blocks(t or ""):
                     block = t[a:b]
-                    tongue = language(block, x)
+                    _, tongue = spoken(block, x)
                     for m in marks(block, pairs(block)):
-                        tail = TAIL.search(m.word)
-                        own |= {(tongue, key(w)) for w in (m.word, m.next, tail[0] if tail else "") if w}
-                        own.add((tongue, key(m.word).rsplit(".", 1)[-1]))
+                        own.update((tongue, w) for w in keys(m))
             take = pa.array([i for i, own in enumerate(counts) for _ in own], pa.int64())
             flat = [p for own in counts for p in own]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array([p[0] for p in flat], pa.string()), pa.array([p[1] for p in flat], pa.string())], names=[doc, "lang", "word"])
 
-    own = slim.mapInArrow(words, f"{doc} {kind_of}, lang string, word string").join(model, ["lang", "word"])
+    own = slim.mapInArrow(words, f"{doc} {kind_of}, lang string, word string").join(learned, ["lang", "word"])
     slices = own.groupBy(doc).agg(F.collect_list(F.struct("lang", "kind", "word", "ends")).alias("rows"))  # bounded by a text's marks
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spoken = Languages(languages.value)
         for batch in batches:
             rows = [[(r["lang"], r["kind"], r["word"], r["ends"]) for r in x or []] for x in batch.column(3).to_pylist()]
-            found = [segment(t, x, Model(r)) for t, x, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), rows, strict=True)]
+            found = [segment(t, x, Model(r), spoken) for t, x, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), rows, strict=True)]
             yield _rows(batch.column(0), found, doc)
 
     return slim.join(slices, doc, "left").select(doc, "text", "lang", "rows").mapInArrow(run_joined, schema)
