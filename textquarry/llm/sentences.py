@@ -126,8 +126,9 @@ class Languages:
         known = clean_language(column)
         votes: dict[str, int] = {}
         if found not in UNSPACED:
-            for word in LETTER_RUN.findall(block.lower()):
-                for lang in self.votes.get(word, ()):
+            known_words = self.votes
+            for word in [w for w in LETTER_RUN.findall(block.lower()) if w in known_words]:
+                for lang in known_words[word]:
                     if self.script.get(lang) == found:
                         votes[lang] = votes.get(lang, 0) + 1
         if not votes:
@@ -305,12 +306,14 @@ def _last(block: str, end: int) -> str:
     return block[end - 1 : end] if end else ""
 
 
-def observe(text: str, lang: str | None, counts: Counter, languages: Languages | None = None) -> None:
+def observe(text: str, lang: str | None, counts: Counter, languages: Languages | None = None, plain: dict[str, Counter] | None = None) -> None:
     """Add a text's evidence: (language, kind, word, follower) -> count.
 
     Kinds: S sure start, I sure inside, P word with period and its follower,
-    B word without period, R word after quoted speech that goes on.
+    B word without period, R word after quoted speech that goes on. ``plain`` collects the forms of B per language, for a
+    batch to fold each form once.
     """
+    forms = {} if plain is None else plain
     languages = languages or Languages([])
     for a, b in blocks(text):
         block = text[a:b]
@@ -336,16 +339,28 @@ def observe(text: str, lang: str | None, counts: Counter, languages: Languages |
             after = WORD.match(block, _skip(block, j + 1, " ,—–"))
             if after and kind(after[0]) == "l" and block[i] not in BRACKETS and (last_inside in (",", "!", "?") or block[j + 1 : j + 2] == ","):
                 counts[tongue, "R", key(after[0]), ""] += 1
+        bare = []
         for w in WORD.finditer(block):
-            form, at = w[0], w.start()
-            what = kind(form)
+            form = w[0]
             if w.end() not in dotted:
-                counts[tongue, "B", key(form), ""] += 1
-            if what in ("u", "n"):
+                bare.append(form)
+            c = form[0]
+            if not (c.islower() or c.isdigit()):
+                at = w.start()
                 if at in starts:
                     counts[tongue, "S", key(form), ""] += 1
                 elif at > 1 and block[at - 1] == " " and (block[at - 2].isalnum() or block[at - 2] == ","):
                     counts[tongue, "I", key(form), ""] += 1
+        forms.setdefault(tongue, Counter()).update(bare)
+    if plain is None:
+        count_forms(forms, counts)
+
+
+def count_forms(forms: dict[str, Counter], counts: Counter) -> None:
+    """Add words without a period, by their folded form."""
+    for tongue, found in forms.items():
+        for form, n in found.items():
+            counts[tongue, "B", key(form), ""] += n
 
 
 def evidence(docs: DataFrame, languages: list[tuple]) -> DataFrame:
@@ -357,9 +372,11 @@ def evidence(docs: DataFrame, languages: list[tuple]) -> DataFrame:
         known = Languages(shipped.value)
         for batch in batches:
             counts: Counter = Counter()
+            plain: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    observe(text, lang, counts, known)
+                    observe(text, lang, counts, known, plain)
+            count_forms(plain, counts)
             if counts:
                 columns = [pa.array(c, pa.string()) for c in zip(*counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names=["lang", "kind", "word", "follower", "n"])
