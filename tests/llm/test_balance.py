@@ -102,3 +102,13 @@ def test_pivot_keeps_cell_totals():
     out = b.pivot(p, cell)
     assert abs(out[:4].sum() - 2.0) < 1e-9 and abs(out[4:].sum() - 1.5) < 1e-9
     assert ((out[:4] > 1e-9) & (out[:4] < 1 - 1e-9)).sum() == 0 and ((out[4:] > 1e-9) & (out[4:] < 1 - 1e-9)).sum() == 1
+
+
+def test_flights_merge_upward_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(b, "FAN", 3)
+    rows = [(f"i{i}", "abc"[i % 3], "xy"[i % 2], None) for i in range(900)]
+    records = spark.createDataFrame(rows, "id string, domain string, model string, attack string")
+    targets = spark.createDataFrame([(1, 1, "a", None, None, 0.5, 0, 101), (2, 1, "b", None, None, 0.3, 0, 101), (3, 1, "c", "x", None, 0.2, 0, 101)], "target_id long, spec_id int, domain string, model string, attack string, target_share double, min_rows long, sample_size long")
+    sample, report = b.sample_targets(records, targets)
+    got = {r.target_id: (r.needed, r.drawn, r.met) for r in report.collect()}
+    assert got == {1: (51, 51, True), 2: (30, 30, True), 3: (20, 20, True)} and sample.count() == sample.distinct().count() == 101

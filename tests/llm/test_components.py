@@ -110,3 +110,25 @@ def test_store_keeps_versions(spark, tmp_path):
     assert store.version() == 2 and {tuple(r) for r in store.table().collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("z", "z")}
     store.update(make([]))
     assert store.version() == 3 and store.table().count() == 6
+
+
+def test_a_later_store_keeps_every_split_and_quarantines_conflicts(spark, tmp_path):
+    targets = spark.createDataFrame([("train", 0.6), ("val", 0.2), ("test", 0.2)], "split string, target_share double")
+    make = lambda rows: c.keyed(spark.createDataFrame(rows, SCHEMA), "rec_id", FIELDS)
+    first = make([(i, f"g{i // 3}", None) for i in range(300)] + [(900, None, "-")])
+    c.SplitStore(spark, str(tmp_path / "s")).update(first, "rec_id", targets)
+    before = {r.rec_id: (r.unit, r.split) for r in c.SplitStore(spark, str(tmp_path / "s")).splits(first, "rec_id").collect()}
+    assert len(before) == 301 and {s for _, s in before.values()} == {"train", "val", "test"}
+    a = next(k for k, (_, s) in before.items() if s == "train" and k < 300)
+    b = next(k for k, (_, s) in before.items() if s == "val" and k < 300)
+    late = [(1000, f"g{a // 3}", None), (1001, f"g{a // 3}", "join"), (1002, f"g{b // 3}", "join"), (1003, "new", None), (1004, "a smaller key", None), (1005, "a smaller key", "x"), (1006, "g50", "x")]
+    store = c.SplitStore(spark, str(tmp_path / "s"))
+    store.update(make(late), "rec_id", targets)
+    assert store.number() == 2
+    after = {r.rec_id: (r.split, r.kept) for r in store.splits(make([(i, f"g{i // 3}", None) for i in range(300)] + late), "rec_id").collect()}
+    hit = {i for i in range(300) if i // 3 in (a // 3, b // 3)} | {1000, 1001, 1002}
+    assert {after[i][0] for i in hit} == {c.QUARANTINE}
+    assert all(after[i] == (before[i][1], True) for i in range(300) if i not in hit)
+    assert after[1006] == (before[150][1], True) == after[1004] and after[1003][1] is False
+    store.update(make([]), "rec_id", targets)
+    assert {r.rec_id: r.split for r in store.splits(first, "rec_id").collect()} == {i: after[i][0] if i < 300 else before[i][1] for i in before}

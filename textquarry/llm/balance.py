@@ -38,8 +38,9 @@ CATEGORIES = ("domain", "model", "attack")
 SLICES = 64
 #: and so many that a slice of all records has about this many rows.
 SLICE_ROWS = 500_000
-#: Second-level flights: groups of cells of a spec.
-CELL_GROUPS = 8
+#: Later flights merge so many slices at a time, in groups of about so many cells, at least so many groups a spec:
+#: a task sees at most their product of records, whatever the number of rows.
+FAN, GROUP_CELLS, CELL_GROUPS = 64, 1_000, 8
 EPS = 1e-9
 
 
@@ -122,10 +123,10 @@ def sample_targets(records: DataFrame, targets: DataFrame, key: str = "id", cate
     flown = scratch.save(flown.withColumn("prob", moved).filter(F.col("prob") > EPS).drop("k", "total"), "flight1")
     taken = flown.filter(F.col("prob") >= 1 - EPS).select("spec_id", "target_id", key)
     rest = flown.filter(F.col("prob") < 1 - EPS)
-    # what is left, at most one record per cell and slice, merges upward
+    # what is left, at most one record per cell and slice, merges upward, slices first
     names = ["target_id", *categories]
-    schema = "spec_id int, target_id long, cell string, prob double, " + "".join(f"{c} string, " for c in categories) + f"{key} string, point string"
-    columns = ["spec_id", "target_id", "cell", "prob", *categories, key, "point"]
+    schema = "spec_id int, target_id long, cell string, slice int, prob double, " + "".join(f"{c} string, " for c in categories) + f"{key} string, point string"
+    columns = ["spec_id", "target_id", "cell", "slice", "prob", *categories, key, "point"]
 
     def fly(final: bool):
         def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -136,10 +137,18 @@ def sample_targets(records: DataFrame, targets: DataFrame, key: str = "id", cate
 
         return run
 
-    rest = rest.withColumn("part", F.pmod(F.hash("cell"), F.lit(CELL_GROUPS))).groupBy("spec_id", "part").applyInPandas(fly(False), schema)
-    rest = scratch.save(rest, "flight2")
-    taken2 = rest.filter(F.col("prob") >= 1 - EPS).select("spec_id", "target_id", key)
-    landed = rest.filter(F.col("prob") < 1 - EPS).groupBy("spec_id").applyInPandas(fly(True), schema).select("spec_id", "target_id", key)
+    parts = max(CELL_GROUPS, cells.count() // GROUP_CELLS)
+    level, resolved = slices, []
+    while True:
+        level = -(-level // FAN)
+        merged = rest.withColumn("slice", F.floor(F.col("slice") / FAN).cast("int")).withColumn("part", F.pmod(F.hash("cell"), F.lit(parts)))
+        rest = scratch.save(merged.groupBy("spec_id", "part", "slice").applyInPandas(fly(False), schema), f"flight-{level}")
+        resolved.append(rest.filter(F.col("prob") >= 1 - EPS).select("spec_id", "target_id", key))
+        rest = rest.filter(F.col("prob") < 1 - EPS)
+        if level <= 1:
+            break
+    taken2 = reduce(lambda a, b: a.unionByName(b), resolved)
+    landed = rest.groupBy("spec_id").applyInPandas(fly(True), schema).select("spec_id", "target_id", key)
     sample = scratch.save(sure.unionByName(taken).unionByName(taken2).unionByName(landed), "sample")
     drawn = sample.groupBy("target_id").agg(F.count("*").alias("drawn"))
     sizes = Window.partitionBy("spec_id")

@@ -66,6 +66,18 @@ def p3_assigned(spark: SparkSession, d: str) -> DataFrame:
     return components.assign_records(pool, "rec_id", SPLIT_KEYS, table(spark, d, "split_targets"), [early, F.lit(True)])
 
 
+@query(
+    "p3_kept_together",
+    "SELECT count(*) AS n_records, (SELECT count(DISTINCT group_key) FROM (" + SQL["p3_found"] + ")) AS n_groups, (SELECT count(*) FROM (" + SQL["p3_found"] + ")) AS n_grouped, 0 AS n_torn, 0 AS n_unassigned FROM split_pool WHERE rec_id IS NOT NULL",
+)
+def p3_kept_together(spark: SparkSession, d: str) -> DataFrame:
+    """Whether all records have a split and every group lies in one: counts of records, groups of two or more, torn groups and records without a split."""
+    out = p3_assigned(spark, d)
+    groups = out.filter("group_key IS NOT NULL").groupBy("group_key").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits"))
+    of_groups = groups.agg(F.count_if(F.col("n") > 1).alias("n_groups"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n_grouped"), F.count_if(F.col("splits") > 1).cast("int").alias("n_torn"))
+    return out.agg(F.count("*").alias("n_records"), F.count_if(F.col("split").isNull()).cast("int").alias("n_unassigned")).join(F.broadcast(of_groups))
+
+
 @query("p3_report")
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Records, groups and share of each split against its target."""
@@ -95,6 +107,22 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return _balanced(spark, d)[0]
 
 
+_CELLS = f"""{SQL["p2_found"][: SQL["p2_found"].index("SELECT target_id")]},
+    cells AS (SELECT d, m, a, count(*) AS n FROM u GROUP BY ALL), t AS (SELECT *, CAST(greatest(coalesce(min_rows, 0), round(coalesce(target_share, 0) * coalesce(sample_size, 0))) AS BIGINT) AS needed FROM sample_targets),
+    fits AS (SELECT t.spec_id, t.target_id, d, m, a, n FROM t JOIN cells ON (t.domain IS NULL OR {_cleaned("t.domain")} = d) AND (t.model IS NULL OR {_cleaned("t.model")} = m) AND (t.attack IS NULL OR {_cleaned("t.attack")} = a)),
+    serves AS (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY spec_id, d, m, a ORDER BY target_id) = 1),
+    r AS (SELECT t.target_id, spec_id, needed, coalesce(av, 0) AS available, least(needed, coalesce(served, 0)) AS drawn FROM t LEFT JOIN (SELECT target_id, sum(n) AS av FROM fits GROUP BY 1) USING (target_id) LEFT JOIN (SELECT target_id, sum(n) AS served FROM serves GROUP BY 1) USING (target_id))"""
+
+
+@query("p2_drawn", f"{_CELLS} SELECT target_id, needed, CAST(available AS BIGINT) AS available, CAST(drawn AS BIGINT) AS drawn, CAST(greatest(0, needed - drawn) AS BIGINT) AS shortfall FROM r")
+def p2_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """What the sample holds for each target, counted in the sample itself: exactly what is needed, or all there is."""
+    sample, report = _balanced(spark, d)
+    drawn = sample.groupBy("target_id").agg(F.count("*").alias("drawn"))
+    counted = report.select("target_id", "needed", "available").join(drawn, "target_id", "left").na.fill(0, ["drawn"])
+    return counted.withColumn("shortfall", F.greatest(F.lit(0), F.col("needed") - F.col("drawn")))
+
+
 @query("p2_report")
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return _balanced(spark, d)[1]

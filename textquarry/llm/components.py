@@ -7,7 +7,7 @@ flattens the hooks, round by round, until no edge is left. The root of a
 component is its smallest key, so a component keeps its name unless an even
 smaller key joins it.
 
-Splits are assigned per component: a component that already has a split keeps
+Splits are assigned per component and kept with it (``SplitStore``): a component that already has a split keeps
 it, one that merges components of different splits is quarantined, and new ones
 fill the deficits of the target shares.
 
@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textquarry.storage import Scratch
+from textquarry.storage import Scratch, Versions
 
 # --- Fixed values: keys that connect nothing ---------------------------------------
 PLACEHOLDERS = ["", "-", "none", "nan", "unknown"]
@@ -239,41 +239,70 @@ def assign_splits(sizes: DataFrame, targets: DataFrame, previous: DataFrame | No
     return old.unionByName(big).unionByName(spread_out)
 
 
-def previous_splits(units: DataFrame, old: DataFrame) -> DataFrame:
-    """``unit``, ``split``: for the components now, the splits their records had before.
+class SplitStore:
+    """Components and their splits kept below a folder, so that a later call, in any session, goes on from the last one.
 
-    ``units`` has (record, unit) now, ``old`` (record, split) of the earlier run, joined on the record.
+    Two versioned tables: ``components`` (key, root) and ``units`` (unit, n, split, kept), a row per component or
+    lone record. An update reads the new records, the edges between their keys and these tables; records of
+    earlier calls are never read again. Both tables of one update carry one number, and the units are
+    committed last, so a failed update leaves the last whole one. A record is to be given once.
     """
-    record = next(c for c in units.columns if c != "unit")
-    return units.join(old.select(record, "split"), record).select("unit", "split").distinct()
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark = spark
+        self.components, self.units = Versions(spark, f"{path.rstrip('/')}/components", 3), Versions(spark, f"{path.rstrip('/')}/units", 3)
+
+    def number(self) -> int:
+        return (self.units.numbers() or [0])[-1]
+
+    def update(self, keys: DataFrame, record: str, targets: DataFrame) -> None:
+        """Take in new records (``record``, ``keys``) and give their components splits."""
+        scratch = Scratch(self.spark, "split-store")
+        last = self.number()
+        table = self.components.write(update_components(self.spark, key_edges(keys), self.components.read(last), scratch), last + 1)
+        fresh = units_of(record_groups(keys, record, table), record).groupBy("unit").agg(F.count("*").alias("n"))
+        sizes, before = fresh, None
+        if last:
+            # the root of a component is one of its keys, so its row tells the root that it has now
+            moved = table.select(F.col("key").alias("unit"), F.col("root").alias("now"))
+            old = scratch.save(self.units.read(last).join(moved, "unit", "left").select(F.coalesce("now", "unit").alias("unit"), "n", "split"), "old")
+            sizes = old.select("unit", "n").unionByName(fresh).groupBy("unit").agg(F.sum("n").alias("n"))
+            before = old.select("unit", "split")
+        self.units.write(assign_splits(sizes, targets, before).select("unit", "n", "split", "kept"), last + 1)
+        scratch.finish()
+
+    def splits(self, keys: DataFrame, record: str) -> DataFrame:
+        """``record``, ``unit``, ``split``, ``kept`` of records (``record``, ``keys``) that updates have taken in."""
+        last = self.number()
+        return units_of(record_groups(keys, record, self.components.read(last)), record).join(self.units.read(last).select("unit", "split", "kept"), "unit").select(record, "unit", "split", "kept")
 
 
-def assign_records(records: DataFrame, record: str, fields: Sequence[str], targets: DataFrame, batches: Sequence[Column]) -> DataFrame:
+def units_of(groups: DataFrame, record: str) -> DataFrame:
+    """``record`` and its ``unit``: the root of its component, or itself where it has no keys."""
+    return groups.select(record, F.coalesce("root", F.concat(F.lit("r:"), F.col(record).cast("string"))).alias("unit"))
+
+
+def assign_records(records: DataFrame, record: str, fields: Sequence[str], targets: DataFrame, batches: Sequence[Column], path: str | None = None) -> DataFrame:
     """``record``, ``group_key``, ``split``, ``batch``, ``kept`` of all records, taken in batches.
 
     Rows without a record id are left out. Each batch (a predicate; the last takes
-    what the others leave) updates the component table of the batches before it and assigns what is new.
+    what the others leave) updates the ``SplitStore`` at ``path`` (a fresh one of this run unless given).
     Rows of one batch whose component was split before follow it; components
     merged from different splits go to quarantine with all their records.
     """
     spark = records.sparkSession
     scratch = Scratch(spark, "assign")
     records = records.filter(F.col(record).isNotNull())
-    table = assigned = None
     number = F.lit(len(batches) - 1)
     for i, predicate in reversed(list(enumerate(batches[:-1]))):
         number = F.when(predicate, F.lit(i)).otherwise(number)
-    keys = scratch.save(keyed(records, record, fields).join(records.select(record, number.alias("batch")), record), "keys")
+    marked = [F.concat(F.lit(f"{i}:"), clean_key(F.col(f))) for i, f in enumerate(fields)]
+    keys = scratch.save(records.select(record, F.array_compact(F.array(*marked)).alias("keys"), number.alias("batch")), "keys")
+    store = SplitStore(spark, path or f"{scratch.root}/store")
     for i in range(len(batches)):
-        seen = keys.filter(F.col("batch") <= i)
-        table = update_components(spark, key_edges(keys.filter(F.col("batch") == i)), table, scratch)
-        groups = record_groups(seen, record, table)
-        units = scratch.save(groups.select(record, F.coalesce("root", F.concat(F.lit("r:"), F.col(record).cast("string"))).alias("unit")), "units")
-        sizes = units.groupBy("unit").agg(F.count("*").alias("n"))
-        before = previous_splits(units, assigned) if assigned is not None else None
-        splits = assign_splits(sizes, targets, before)
-        assigned = scratch.save(units.join(splits.select("unit", "split", "kept"), "unit").select(record, "unit", "split", "kept"), "assigned")
-    scratch.finish(assigned, keys)
-    out = assigned.join(keys.select(record, "batch"), record)
+        store.update(keys.filter(F.col("batch") == i).select(record, "keys"), record, targets)
+    assigned = store.splits(keys, record).join(keys.select(record, "batch"), record)
     group = F.when(~F.col("unit").startswith("r:"), F.substring("unit", 3, 1 << 30))
-    return out.select(record, group.alias("group_key"), "split", "batch", "kept")
+    out = scratch.save(assigned.select(record, group.alias("group_key"), "split", "batch", "kept"), "assigned")
+    scratch.finish(out)
+    return out
