@@ -96,15 +96,17 @@ class Versions:
     def at(self, number: int) -> str:
         return f"{self.path}/v{number:06d}"
 
-    def read(self) -> DataFrame | None:
-        """The last version; None where there is none."""
+    def read(self, number: int | None = None) -> DataFrame | None:
+        """A version, the last one unless given; None where there is none."""
         known = self.numbers()
-        return self.spark.read.parquet(self.at(known[-1])) if known else None
+        if not known or number is not None and number not in known:
+            return None
+        return self.spark.read.parquet(self.at(known[-1] if number is None else number))
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """Commit ``df``, which may read the last version, as the next one."""
+    def write(self, df: DataFrame, number: int | None = None) -> DataFrame:
+        """Commit ``df``, which may read the last version, as the next one, or as the given one."""
         known = self.numbers()
-        number = known[-1] + 1 if known else 1
+        number = number or (known[-1] + 1 if known else 1)
         df.write.mode("overwrite").parquet(self.at(number))
         for old in known[: max(0, len(known) + 1 - self.keep)]:
             self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.at(old)), True)
