@@ -63,6 +63,13 @@ def linear(weights: dict[str, tuple[Callable[[Column], Column], float]], bias: f
 LOADED: dict[str, Any] = {}
 
 
+def loaded(name: str, load: Callable[[], Any]) -> Any:
+    """The model of a name, loaded where this process has not done so. Workers import this function, so its memory outlives a task."""
+    if name not in LOADED:
+        LOADED[name] = load()
+    return LOADED[name]
+
+
 def arrow_scorer(load: Callable[[], Any], score: Callable[[Any, list[str]], list[float]], **kw: Any) -> Scorer:
     """A scorer from Python: ``load`` makes the model once per worker, ``score`` maps a batch of texts to margins.
 
@@ -74,9 +81,7 @@ def arrow_scorer(load: Callable[[], Any], score: Callable[[Any, list[str]], list
 
     @F.pandas_udf(DoubleType())
     def margin(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if name not in LOADED:
-            LOADED[name] = load()
-        model = LOADED[name]
+        model = loaded(name, load)
         for texts in batches:
             known = texts.fillna("").tolist()
             out = pd.Series(score(model, known), dtype="float64")
